@@ -88,4 +88,7 @@ def package_of(rel_path: Column | str) -> Column:
 
 
 def looks_like_path(text: Column | str) -> Column:
-    return F.contains(_col(text), F.lit("/")) | (detect_language(text) != "")
+    """Holds a slash, or is a file name with a known extension or a special name."""
+    t = _col(text)
+    known = F.concat(F.lit("."), F.substring_index(t, ".", -1)).isin(*EXTENSION_LANGUAGE) & (F.instr(t, ".") > 0)
+    return F.contains(t, F.lit("/")) | known | t.isin(*FILENAME_LANGUAGE)

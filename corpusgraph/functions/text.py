@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.paths import looks_like_path
@@ -64,29 +64,39 @@ def starts_with_capital(name: Column | str) -> Column:
     return F.regexp_like(_col(name), F.lit("^[A-Z]"))
 
 
-def parse_target(target: Column | str) -> Column:
-    """Struct(file, symbol, start_line, end_line, is_path) of a lookup string.
+def with_parsed_target(df: DataFrame) -> DataFrame:
+    """Adds file, symbol, start_line, end_line, is_path read from the ``target`` column.
 
     ``path:L10-L20`` and ``path:10`` name lines, ``file:Symbol`` a symbol in a file (the left
     side must hold a slash or a known file name), anything else is a symbol. Dots in the symbol
-    are left alone; see :func:`dotted_parts`.
+    are left alone; see :func:`dotted_parts`. Built in steps so that no piece is computed twice.
     """
-    t = _col(target)
-    left = F.regexp_extract(t, r"^([\s\S]+):([^:]*)$", 1)
-    right = F.regexp_extract(t, r"^([\s\S]+):([^:]*)$", 2)
-    is_path_left = looks_like_path(left) & (left != "")
-    first = F.regexp_extract(right, r"^L?(\d+)(?:-[\s\S]*)?$", 1)
-    second = F.regexp_extract(right, r"^L?\d+-L?(\d+)$", 1)
-    is_lines = is_path_left & (first != "")
-    is_symbol = is_path_left & ~is_lines & (right != "")
-    bare_path = ~is_path_left & looks_like_path(t)
-    start = F.when(is_lines, first.cast("int"))
-    return F.struct(
-        F.when(is_lines | is_symbol, left).when(bare_path, t).otherwise("").alias("file"),
-        F.when(is_symbol, right).when(is_lines | bare_path, "").otherwise(t).alias("symbol"),
-        F.coalesce(start, F.lit(0)).alias("start_line"),
-        F.coalesce(F.when(is_lines & (second != ""), second.cast("int")), start, F.lit(0)).alias("end_line"),
-        (is_lines | bare_path).alias("is_path"),
+    t = F.col("target")
+    kept = df.columns
+    right = F.when(F.instr(t, ":") > 1, F.substring_index(t, ":", -1))
+    cut = df.withColumn("_right", right).withColumn(
+        "_left", F.expr("left(target, length(target) - length(_right) - 1)")
+    )
+    flags = cut.withColumns({
+        "_path_left": F.coalesce(looks_like_path("_left"), F.lit(False)),
+        "_first": F.regexp_extract("_right", r"^L?(\d+)(?:-[\s\S]*)?$", 1),
+        "_second": F.regexp_extract("_right", r"^L?\d+-L?(\d+)$", 1),
+    })
+    lines = F.col("_path_left") & (F.col("_first") != "")
+    forms = flags.withColumn(
+        "_form",
+        F.when(lines, "lines").when(F.col("_path_left") & (F.col("_right") != ""), "symbol")
+        .when(~F.col("_path_left") & looks_like_path("target"), "path").otherwise("name"),
+    )
+    form = F.col("_form")
+    start = F.when(form == "lines", F.col("_first").cast("int")).otherwise(0)
+    return forms.select(
+        *kept,
+        F.when(form.isin("lines", "symbol"), F.col("_left")).when(form == "path", t).otherwise("").alias("file"),
+        F.when(form == "symbol", F.col("_right")).when(form == "name", t).otherwise("").alias("symbol"),
+        start.alias("start_line"),
+        F.when((form == "lines") & (F.col("_second") != ""), F.col("_second").cast("int")).otherwise(start).alias("end_line"),
+        form.isin("lines", "path").alias("is_path"),
     )
 
 

@@ -15,8 +15,9 @@ from corpusgraph.constants import (
     TYPE_KINDS,
 )
 from corpusgraph.corpus import Corpus, with_files
-from corpusgraph.functions.text import dotted_parts, equal_ignoring_case, parse_target
+from corpusgraph.functions.text import dotted_parts, equal_ignoring_case, with_parsed_target
 from corpusgraph.operators.ranking import rank_symbols, top_k
+from corpusgraph.runtime import materialise
 from corpusgraph.operators.edges import binned_points, binned_ranges
 from corpusgraph.operators.search import bm25_symbols, search_symbols
 
@@ -118,7 +119,7 @@ def source_slice(c: Corpus, ranges: DataFrame) -> DataFrame:
 
 def parse_targets(targets: DataFrame) -> DataFrame:
     """Target strings as columns: file, parent_hint, symbol, start_line, end_line, is_path."""
-    parsed = targets.select(*KEY, parse_target("target").alias("p")).select(*KEY, "p.*")
+    parsed = with_parsed_target(targets.select(*KEY))
     parent, name = dotted_parts("symbol")
     split = (F.col("file") == "") & (F.col("symbol") != "")
     return parsed.withColumns({
@@ -129,9 +130,7 @@ def parse_targets(targets: DataFrame) -> DataFrame:
 
 def _attempts(targets: DataFrame) -> DataFrame:
     """Readings of a target: the whole name first, then ``Parent.name``."""
-    parsed = targets.select(*KEY).distinct().select(*KEY, parse_target("target").alias("p")).select(
-        *KEY, "p.file", "p.symbol"
-    ).where("symbol <> ''")
+    parsed = with_parsed_target(targets.select(*KEY).distinct()).select(*KEY, "file", "symbol").where("symbol <> ''")
     parent, name = dotted_parts("symbol")
     whole = F.struct(F.lit(0).alias("attempt"), F.col("symbol").alias("name"), F.lit("").alias("parent_hint"))
     split = F.struct(F.lit(1).alias("attempt"), name.alias("name"), parent.alias("parent_hint"))
@@ -181,8 +180,12 @@ def resolve_hints(candidates: DataFrame) -> DataFrame:
 
 def candidates_for(c: Corpus, targets: DataFrame) -> DataFrame:
     """Candidate symbols of every target before hints: exact names, else any casing, else the
-    prefix search; ``fuzzy`` marks the latter two. No candidate is cut off here."""
-    attempts = _attempts(targets)
+    prefix search; ``fuzzy`` marks the latter two. No candidate is cut off here.
+
+    The parsed targets are written out: they are read by all three stages, and their string
+    expressions would otherwise be evaluated inside every join.
+    """
+    attempts = materialise(_attempts(targets), "attempts")
     symbols = c.symbols.join(c.files.select("file_id", "path", "rel_path"), "file_id")
     names = c.symbols.select("repo", "name").distinct()
 
@@ -191,7 +194,7 @@ def candidates_for(c: Corpus, targets: DataFrame) -> DataFrame:
     rest = attempts.join(exact.select(*KEY).distinct(), KEY, "left_anti").withColumn("folded", F.lower("name"))
     folded_names = c.symbols.select("repo", F.lower("name").alias("folded")).distinct()
     any_case = _lowest_tier(rest.join(folded_names, ["repo", "folded"], "left_semi"), "attempt")
-    last = rest.join(any_case.select(*KEY).distinct(), KEY, "left_anti")
+    last = materialise(rest.join(any_case.select(*KEY).distinct(), KEY, "left_anti"), "prefix_targets")
 
     hint = [*KEY, "file", "parent_hint"]
     by_name = symbols.join(exact.select(*hint, "name"), ["repo", "name"]).withColumn("fuzzy", F.lit(False))

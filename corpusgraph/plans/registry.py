@@ -47,6 +47,7 @@ def full_sql(sql: str) -> str:
         return sql
     body = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n].strip()})" for n in seen)
     lead = sql.strip()
+    # A statement may go on with views of its own: it then starts with a comma.
     return f"WITH {body}\n{lead}"
 
 
