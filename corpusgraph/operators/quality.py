@@ -11,6 +11,7 @@ from corpusgraph.constants import LIMIT_REFS, LIMIT_RESOLVE_EXACT
 from corpusgraph.corpus import Corpus
 from corpusgraph.operators.bundle import symbol_source
 from corpusgraph.operators.lookup import auto_resolve, find_references, symbols_exact
+from corpusgraph.runtime import materialise
 
 
 def ground_truth_check(c: Corpus, expected: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def ground_truth_check(c: Corpus, expected: DataFrame) -> DataFrame:
             & F.coalesce(F.bool_or(F.col("hit_kind") == F.col("kind")), F.lit(False))
         ).alias("passed")
     )
-    best = auto_resolve(c, targets)
+    best = materialise(auto_resolve(c, targets), "resolved")
     sources = best.select("repo", F.col("target").alias("name"), "symbol_id").join(symbol_source(c, best), "symbol_id")
     show = expected.join(sources, key, "left").select(
         *key, F.coalesce(F.contains("source", F.col("show_contains")), F.lit(False)).alias("passed")
