@@ -16,6 +16,7 @@ from corpusgraph.constants import (
 from corpusgraph.corpus import Corpus, with_files
 from corpusgraph.functions.text import tokens
 from corpusgraph.operators.ranking import top_k
+from corpusgraph.runtime import materialise
 
 
 def symbol_tokens(symbols: DataFrame) -> DataFrame:
@@ -40,40 +41,53 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _term_tokens(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Dictionary tokens each term stands for. Prefixes meet the distinct tokens by equality:
-    a token is cut to the prefix lengths in use (one number per length reaches the driver)."""
-    keep = ["repo", "query", "term_no", "n_terms"]
-    whole = terms.where("NOT is_prefix").select(*keep, F.col("term").alias("token"))
+    """Dictionary tokens each distinct (repo, term, is_prefix) stands for. Prefixes meet the
+    distinct tokens by equality: a token is cut to the prefix lengths in use (one number per
+    length reaches the driver)."""
+    keep = ["repo", "term", "is_prefix", "token"]
+    whole = terms.where("NOT is_prefix").withColumn("token", F.col("term")).select(keep)
     prefixes = terms.where("is_prefix")
     lengths = sorted(r[0] for r in prefixes.select(F.length("term")).distinct().collect())
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("token"))
     dictionary = postings.select("repo", "token").distinct().withColumn(
         "term", F.explode(F.transform(cuts, lambda n: F.substring(F.col("token"), F.lit(1), n)))
     )
-    return whole.unionByName(prefixes.join(dictionary, ["repo", "term"]).select(*keep, "token"))
+    return whole.unionByName(prefixes.join(dictionary, ["repo", "term"]).select(keep))
 
 
 def bm25_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """Symbols that match every term of a query with their Okapi BM25 score, per repository.
 
     ``queries``: repo, query. The score is rounded to six digits; larger is better.
+
+    Matching rows are found once per distinct term and shared by all queries. A query then takes
+    its candidates from its rarest term only and looks the other terms up per candidate, so a
+    term that holds a third of all symbols (a kind, say) never fans out over the queries.
     """
     postings = symbol_tokens(symbols)
-    tf = (
-        _term_tokens(postings, query_terms(queries)).join(postings, ["repo", "token"])
-        .groupBy("repo", "query", "n_terms", "term_no", "symbol_id").agg(F.count("*").alias("tf"))
+    wanted = query_terms(queries)
+    term = ["repo", "term", "is_prefix"]
+    term_docs = materialise(
+        _term_tokens(postings, wanted.select(*term).distinct()).join(postings, ["repo", "token"])
+        .groupBy(*term, "symbol_id").agg(F.count("*").alias("tf")),
+        "term_docs",
     )
+    # A term without any symbol drops out here, and its query with it (hits < n_terms).
+    scored_terms = wanted.join(term_docs.groupBy(*term).agg(F.count("*").alias("df")), term)
+    rarest = scored_terms.groupBy("repo", "query").agg(F.min(F.struct("df", "term", "is_prefix")).alias("r"))
+    candidates = rarest.select("repo", "query", "r.term", "r.is_prefix").join(term_docs.drop("tf"), term).drop("term", "is_prefix")
+    tf = candidates.join(scored_terms, ["repo", "query"]).join(term_docs, [*term, "symbol_id"])
+
     docs = postings.groupBy("repo", "symbol_id").agg(F.count("*").alias("dl"))
     stats = (
         symbols.groupBy("repo").agg(F.count("*").alias("n_docs"))
         .join(docs.groupBy("repo").agg(F.sum("dl").alias("n_tokens")), "repo")
     )
-    df = tf.groupBy("repo", "query", "term_no").agg(F.count("*").alias("df"))
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(BM25_IDF_FLOOR))
     norm = 1.0 - BM25_B + BM25_B * F.col("dl") * F.col("n_docs") / F.col("n_tokens")
     part = idf * F.col("tf") * (BM25_K1 + 1.0) / (F.col("tf") + BM25_K1 * norm)
     return (
-        tf.join(df, ["repo", "query", "term_no"]).join(docs, ["repo", "symbol_id"]).join(stats, "repo")
+        tf.join(docs, ["repo", "symbol_id"]).join(stats, "repo")
         .groupBy("repo", "query", "n_terms", "symbol_id")
         .agg(F.count("*").alias("hits"), F.round(F.sum(part), 6).alias("score"))
         .where("hits = n_terms")
