@@ -8,6 +8,9 @@ Accuracy is lexical; see the README for what that means compared with a syntax t
 from __future__ import annotations
 
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,19 +18,31 @@ from corpusgraph.constants import CALLABLE_KINDS
 from corpusgraph.extraction import rules as R
 from corpusgraph.functions.text import normalize_call_name
 from corpusgraph.operators.edges import binned_points, binned_ranges, nesting
+from corpusgraph.runtime import materialise
 
 FILE = ["repo", "file_id", "language"]
 
 
-def _by_language(table: dict[str, Column], default: Column) -> Column:
-    out = default
-    for lang, value in table.items():
-        out = F.when(F.col("language") == lang, value).otherwise(out)
-    return out
+def _value_of_language(table: dict[str, str]) -> Column:
+    """A constant per language, ``NULL`` for languages without one (one map lookup)."""
+    pairs = [F.lit(x) for item in table.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), F.col("language"))
+
+
+def _per_language(lines: DataFrame, languages: set[str], build: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Union of one small plan per language that occurs; each keeps its rules as constants, so
+    patterns compile once and every branch stays small enough for code generation. At most one
+    row per known language reaches the driver. Lines written by language are read once in all."""
+    present = {r[0] for r in lines.select("language").distinct().collect()}
+    chosen = sorted(languages & present) or [sorted(languages)[0]]
+    return reduce(DataFrame.unionByName, [build(lines.where(F.col("language") == lang), lang) for lang in chosen])
 
 
 def masked_content() -> Column:
     """``content`` with comments and string bodies blanked; every character keeps its line."""
+    regex = F.coalesce(_value_of_language(R.MASKED), F.lit("(?!)"))
+    pieces = F.regexp_extract_all("content", F.concat(F.lit("(?:"), regex, F.lit(")|[^\"'`/#=\\-]+|[\\s\\S]")), F.lit(0))
+    special = F.concat(F.lit("^(?:"), regex, F.lit(")$"))
 
     def blank(piece: Column) -> Column:
         hollow = F.regexp_replace(piece, r"[^\n]", " ")
@@ -35,21 +50,16 @@ def masked_content() -> Column:
         is_string = quote.isin('"', "'", "`") & (F.length(piece) >= 2)
         return F.when(is_string, F.concat(quote, F.substring(hollow, 3, 1_000_000_000), quote)).otherwise(hollow)
 
-    def mask(regex: str) -> Column:
-        pieces = F.regexp_extract_all("content", F.lit(f"(?:{regex})|[^\"'`/#=\\-]+|[\\s\\S]"), F.lit(0))
-        special = F.lit(f"^(?:{regex})$")
-        return F.array_join(F.transform(pieces, lambda p: F.when(_may_be_masked(p) & F.regexp_like(p, special), blank(p)).otherwise(p)), "")
-
-    return _by_language({lang: mask(rx) for lang, rx in R.MASKED.items()}, F.col("content"))
+    def masked(piece: Column) -> Column:
+        candidate = (F.length(piece) > 1) & F.substring(piece, 1, 1).isin('"', "'", "`", "/", "#", "-", "=")
+        return F.when(candidate & F.regexp_like(piece, special), blank(piece)).otherwise(piece)
 
-
-def _may_be_masked(piece: Column) -> Column:
-    return (F.length(piece) > 1) & F.substring(piece, 1, 1).isin('"', "'", "`", "/", "#", "-", "=")
+    return F.array_join(F.transform(pieces, masked), "")
 
 
 def source_lines(contents: DataFrame) -> DataFrame:
-    """(repo, file_id, language, line, text, masked) of supported files; ``contents``: repo,
-    file_id, language, content."""
+    """(repo, file_id, language, line, text, masked); ``contents``: repo, file_id, language,
+    content."""
     both = contents.select(*FILE, "content", masked_content().alias("m")).select(
         *FILE, F.arrays_zip(F.split("content", "\r?\n", -1).alias("text"), F.split("m", "\r?\n", -1).alias("masked")).alias("z")
     )
@@ -74,46 +84,50 @@ def with_parens(lines: DataFrame) -> DataFrame:
     })
 
 
+def masked_lines(contents: DataFrame) -> DataFrame:
+    """The line table all extractors read, written once and laid out by language."""
+    return materialise(with_parens(source_lines(contents)), "masked_lines", ("language",))
+
+
 def _first_match(lang_rules: list[R.SymbolRule]) -> Column:
-    out = F.lit(None).cast("struct<kind:string,name:string>")
-    for r in reversed(lang_rules):
-        text = F.col("text") if r.raw else F.col("masked")
-        hit = F.struct(F.lit(r.kind).alias("kind"), F.regexp_extract(text, r.regex, 1).alias("name"))
-        out = F.when(F.regexp_like(text, F.lit(r.regex)), hit).otherwise(out)
-    return out
+    hits = []
+    for r in lang_rules:
+        name = F.regexp_extract("text" if r.raw else "masked", r.regex, 1)
+        hits.append(F.when(name != "", F.struct(F.lit(r.kind).alias("kind"), name.alias("name"))))
+    return F.coalesce(*hits)
 
 
 def definition_lines(lines: DataFrame, rules: list[R.SymbolRule] | None = None) -> DataFrame:
     """One row per defining line: kind, name, and the source line. The first rule that fits wins."""
     rules = R.SYMBOL_RULES if rules is None else rules
-    languages = sorted({r.language for r in rules})
-    table = {lang: _first_match([r for r in rules if r.language == lang]) for lang in languages}
-    none = F.lit(None).cast("struct<kind:string,name:string>")
-    found = lines.where(F.col("language").isin(languages)).withColumn("d", _by_language(table, none))
-    grouped = (
-        (F.col("language") == "go") & F.col("in_group").isin("const", "var") & (F.col("open_before") == 1)
-        & F.regexp_like("masked", F.lit(R.GO_GROUP_NAME))
-    )
-    kind = F.when(F.col("in_group") == "const", "constant").otherwise("variable")
-    name = F.when(grouped, F.regexp_extract("masked", R.GO_GROUP_NAME, 1)).otherwise(F.col("d.name"))
-    # Labels of a configuration block are joined by dots.
-    name = F.when(F.col("language") == "hcl", F.replace(F.regexp_replace(name, r'"\s+"', "."), F.lit('"'), F.lit(""))).otherwise(name)
-    return (
-        found.withColumns({"kind": F.when(grouped, kind).otherwise(F.col("d.kind")), "name": name})
-        .where("kind IS NOT NULL AND name <> ''").drop("d")
-    )
+
+    def of_language(part: DataFrame, lang: str) -> DataFrame:
+        hit = _first_match([r for r in rules if r.language == lang])
+        if lang == "go":
+            member = F.regexp_extract("masked", R.GO_GROUP_NAME, 1)
+            kind = F.when(F.col("in_group") == "const", "constant").otherwise("variable")
+            grouped = F.col("in_group").isin("const", "var") & (F.col("open_before") == 1) & (member != "")
+            hit = F.coalesce(F.when(grouped, F.struct(kind.alias("kind"), member.alias("name"))), hit)
+        found = part.withColumn("d", hit).where("d IS NOT NULL")
+        name = F.col("d.name")
+        if lang == "hcl":  # labels of a block are joined by dots
+            name = F.replace(F.regexp_replace(name, r'"\s+"', "."), F.lit('"'), F.lit(""))
+        return found.withColumns({"kind": F.col("d.kind"), "name": name}).drop("d")
+
+    return _per_language(lines, {r.language for r in rules}, of_language)
 
 
 def block_events(lines: DataFrame) -> DataFrame:
     """Openers (1), closers (-1) and statement ends (0) in reading order: (file_id, line, ord, step)."""
     none = F.array().cast("array<string>")
-    braces = {lang: F.regexp_extract_all("masked", F.lit("[{};]"), F.lit(0)) for lang in R.BRACES}
-    words = {lang: F.regexp_extract_all("masked", F.lit(rx), F.lit(0)) for lang, (rx, _) in R.BLOCK_EVENTS.items()}
+    opens_and_closes = {**dict.fromkeys(R.BRACES, "[{};]"), **{lang: rx for lang, (rx, _) in R.BLOCK_EVENTS.items()}}
+    regex = F.coalesce(_value_of_language(opens_and_closes), F.lit("(?!)"))
     ended = F.col("language").isin(*R.LINE_ENDED) & (
         (F.col("open_after") <= 0) | ((F.col("in_group") != "") & (F.col("open_after") == 1))
     )
-    tokens = F.concat(_by_language({**braces, **words}, none), F.when(ended, F.array(F.lit(";"))).otherwise(none))
-    closes = _by_language({lang: F.regexp_like("tok", F.lit(rx)) for lang, (_, rx) in R.BLOCK_EVENTS.items()}, F.col("tok") == "}")
+    tokens = F.concat(F.regexp_extract_all("masked", regex, F.lit(0)), F.when(ended, F.array(F.lit(";"))).otherwise(none))
+    closer = F.coalesce(_value_of_language({lang: rx for lang, (_, rx) in R.BLOCK_EVENTS.items()}), F.lit("^\\}$"))
+    closes = F.regexp_like("tok", closer)
     step = F.when(F.col("tok").like("%do:") | (F.col("tok") == ";"), 0).when(closes, -1).otherwise(1)
     return (
         lines.select("file_id", "language", "line", F.posexplode(tokens).alias("ord", "tok"))
@@ -184,8 +198,7 @@ def _decorated_start(lines: DataFrame) -> DataFrame:
 
 def extract_symbols(contents: DataFrame, rules: list[R.SymbolRule] | None = None) -> DataFrame:
     """Symbol facts of source files (repo, file_id, language, content), nested and with signatures."""
-    lines = with_parens(source_lines(contents))
-    return symbols_of(lines, rules)
+    return symbols_of(masked_lines(contents), rules)
 
 
 def symbols_of(lines: DataFrame, rules: list[R.SymbolRule] | None = None) -> DataFrame:
@@ -239,17 +252,15 @@ def imports_of(lines: DataFrame, rules: list[R.ImportRule] | None = None) -> Dat
     rules = R.IMPORT_RULES if rules is None else rules
 
     def match(rule: R.ImportRule) -> Column:
-        live = F.regexp_like("masked", F.lit(r"\S"))
-        where = live & (F.col("in_group") == rule.block) if rule.block else live & (F.col("in_group") == "")
-        return F.when(where & F.regexp_like("text", F.lit(rule.regex)), F.regexp_extract("text", rule.regex, 1))
-
-    languages = sorted({r.language for r in rules})
-    table = {lang: F.coalesce(*[match(r) for r in rules if r.language == lang]) for lang in languages}
-    plain = (
-        lines.where(F.col("language").isin(languages))
-        .select("repo", "file_id", _by_language(table, F.lit(None).cast("string")).alias("raw_path"), "language")
-        .where("raw_path IS NOT NULL")
-    )
+        found = F.regexp_extract("text", rule.regex, 1)
+        return F.when((F.col("in_group") == rule.block) & (found != ""), found)
+
+    def of_language(part: DataFrame, lang: str) -> DataFrame:
+        raw = F.coalesce(*[match(r) for r in rules if r.language == lang])
+        live = part.where(F.regexp_like("masked", F.lit(r"\S")))
+        return live.select("repo", "file_id", raw.alias("raw_path"), "language").where("raw_path IS NOT NULL")
+
+    plain = _per_language(lines, {r.language for r in rules}, of_language)
     w = Window.partitionBy("file_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     first = F.last(F.when(F.col("open_before") <= 0, F.col("line")), True).over(w)
     statements = (
@@ -300,10 +311,10 @@ def _outside_interfaces(refs: DataFrame, lines: DataFrame, defs: DataFrame) -> D
 
 
 def extract_imports(contents: DataFrame) -> DataFrame:
-    return imports_of(with_parens(source_lines(contents)))
+    return imports_of(masked_lines(contents))
 
 
 def extract_refs(contents: DataFrame) -> DataFrame:
-    return refs_of(with_parens(source_lines(contents)))
+    return refs_of(masked_lines(contents))
 
 

@@ -285,6 +285,68 @@ def old_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Source code derived from the documents: three source lines per document line.
+SOURCE_LANGUAGE = {"repo_en": "python", "repo_de": "go", "repo_fr": "javascript", "repo_es": "java"}
+# language -> (class form, function form, import form); {W} the word, {C} the called name, {L} the line
+SOURCE_FORMS = {
+    "python": ("class {W}:\n    def m{W}(self):\n        {C}()", 'def {W}():\n    # no({}) {\n    {C}("x(")', "import mod_{L}\n\n"),
+    "go": ("type {W} struct {\n\ta int // }\n}", 'func {W}() {\n\t{C}("}")\n}', 'import "mod/{L}"\n\n'),
+    "javascript": ("class {W} {\n  m{W}() { return {C}(); }\n}", "function {W}() {\n  {C}('}'); // no()\n}", "import 'mod_{L}';\n\n"),
+    "java": ("class {W} {\n  int m{W}(int a) { return {C}(a); }\n}", "interface {W} {\n  int m{W}(); /* { */\n}", "import mod.l{L};\n\n"),
+}
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus(spark, sf_dir)
+    language = F.lit("")
+    for repo, name in SOURCE_LANGUAGE.items():
+        language = F.when(F.col("repo") == repo, name).otherwise(language)
+    called = c.refs.groupBy("file_id", "line").agg(F.min_by("name", "ord").alias("called"))
+    word = F.regexp_extract("text", "^([A-Za-z]+)", 1)
+    parts = c.lines.join(called, ["file_id", "line"], "left").select(
+        "repo", "file_id", "line", language.alias("language"),
+        F.when(F.length(word) >= 4, capital(word)).alias("W"),
+        F.concat(F.lit("Call"), F.coalesce("called", F.lit("Noop"))).alias("C"),
+    )
+
+    def filled(form: str) -> Column:
+        text = F.lit(form)
+        for key, value in (("{W}", F.col("W")), ("{C}", F.col("C")), ("{L}", F.col("line").cast("string"))):
+            if key in form:
+                text = F.replace(text, F.lit(key), value)
+        return text
+
+    snippet = F.lit("")
+    for lang, (cls, fun, imp) in SOURCE_FORMS.items():
+        one = F.when(F.col("W").isNull(), filled(imp)).when(F.col("line") % 6 == 1, filled(cls)).otherwise(filled(fun))
+        snippet = F.when(F.col("language") == lang, one).otherwise(snippet)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", snippet.alias("s")))), lambda x: x["s"]), "\n")
+    return (
+        parts.groupBy("repo", "file_id", "language").agg(text.alias("content"))
+        .join(c.files.select("file_id", "path", "rel_path", "mtime_us"), "file_id")
+    )
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised_once(spark, sf_dir, "sources", lambda: spread(_sources(spark, sf_dir)))
+
+
+_PARTS = """
+SELECT l.repo, l.file_id, l.line, CASE l.repo WHEN 'repo_en' THEN 'python' WHEN 'repo_de' THEN 'go' WHEN 'repo_fr' THEN 'javascript' ELSE 'java' END AS language,
+       CASE WHEN length(regexp_extract(l.text, '^([A-Za-z]+)', 1)) >= 4 THEN
+         upper(substr(regexp_extract(l.text, '^([A-Za-z]+)', 1), 1, 1)) || lower(substr(regexp_extract(l.text, '^([A-Za-z]+)', 1), 2)) END AS w,
+       'Call' || coalesce(r.called, 'Noop') AS c, l.line % 6 = 1 AS is_class, CAST(3 * (l.line - 1) + 1 AS INT) AS s
+FROM fx_lines l LEFT JOIN (SELECT file_id, line, arg_min(name, ord) AS called FROM fx_refs GROUP BY ALL) r ON r.file_id = l.file_id AND r.line = l.line"""
+
+_SRC_SYMBOLS = """
+SELECT repo, file_id, language, w AS name, CASE WHEN language = 'go' AND is_class THEN 'struct' WHEN is_class THEN 'class'
+       WHEN language = 'java' THEN 'interface' ELSE 'function' END AS kind, s AS start_line, s + 2 AS end_line, '' AS parent, 0 AS depth
+FROM fx_parts WHERE w IS NOT NULL
+UNION ALL
+SELECT repo, file_id, language, 'm' || w, CASE language WHEN 'python' THEN 'function' ELSE 'method' END, s + 1,
+       CASE language WHEN 'python' THEN s + 2 ELSE s + 1 END, w, 1
+FROM fx_parts WHERE w IS NOT NULL AND ((is_class AND language <> 'go') OR (language = 'java'))"""
+
 _CONTENTS = """
 SELECT 'repo_' || lang AS repo, doc_id AS file_id, '/repo_' || lang || '/' || rel_path AS path, rel_path,
        source AS language, text AS content
@@ -403,4 +465,6 @@ FIXTURE_SQL = {
     "fx_targets": _TARGETS,
     "fx_bodies": _BODIES,
     "fx_old": _OLD,
+    "fx_parts": _PARTS,
+    "fx_src_symbols": _SRC_SYMBOLS,
 }

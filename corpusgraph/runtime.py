@@ -37,27 +37,32 @@ def work_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and read it back: cuts the lineage and yields real size statistics."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def materialised_once(
-    spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]
-) -> DataFrame:
-    """Derived table of (application, scope), built at first use and shared afterwards."""
+def shared(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Written table of (application, scope), built at first use and handed out afterwards."""
     key = (spark.sparkContext.applicationId, scope, name)
     if key not in _tables:
-        _tables[key] = materialise(build(), name)
+        _tables[key] = build()
     return _tables[key]
 
 
+def materialised_once(
+    spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]
+) -> DataFrame:
+    """Derived table of (application, scope), written at first use and shared afterwards."""
+    return shared(spark, scope, name, lambda: materialise(build(), name))
+
+
 def is_empty(df: DataFrame) -> bool:
     """Cheap on a materialised table: reads at most one row."""
     return df.isEmpty()

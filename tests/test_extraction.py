@@ -354,12 +354,10 @@ REFS = {
 
 
 @pytest.fixture(scope="module")
-def facts(spark, tmp_path_factory):
+def facts(spark):
     rows = [("r", i, lang, src) for i, (lang, src) in enumerate(sorted(SNIPPETS.items()))]
     src = spark.createDataFrame(rows, "repo string, file_id bigint, language string, content string")
-    path = str(tmp_path_factory.mktemp("x") / "lines")
-    extract.with_parens(extract.source_lines(src)).write.parquet(path)
-    lines = spark.read.parquet(path)
+    lines = extract.masked_lines(src)
     symbols = [r.asDict() for r in extract.symbols_of(lines).collect()]
     imports = [r.asDict() for r in extract.imports_of(lines).collect()]
     refs = [r.asDict() for r in extract.refs_of(lines).collect()]
