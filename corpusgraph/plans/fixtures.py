@@ -328,7 +328,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialised_once(spark, sf_dir, "sources", lambda: spread(_sources(spark, sf_dir)))
+    return materialised_once(spark, sf_dir, "sources", lambda: _sources(spark, sf_dir))
 
 
 _PARTS = """

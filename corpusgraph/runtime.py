@@ -70,6 +70,7 @@ def is_empty(df: DataFrame) -> bool:
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin only when the input has fewer splits than the cluster has cores (one big file
-    in one row group); a table with enough splits is passed through without a shuffle."""
+    in one row group); a table with enough splits is passed through without a shuffle. For plain
+    scans: asking a plan with shuffles for its partitions would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,8 +24,9 @@ from corpusgraph.corpus import (
 
 LOG_SCHEMA = f"{FILES_SCHEMA}, deleted BOOLEAN"
 FACTS = {"lines": LINES_SCHEMA, "symbols": SYMBOLS_SCHEMA, "imports": IMPORTS_SCHEMA, "refs": REFS_SCHEMA}
-# Rows of a table are laid out by these columns, so min/max statistics skip other repositories
-# and names; a large repository spreads over as many files as it needs.
+# Rows of a table are gathered by repository and sorted by these columns, so min/max statistics
+# skip other repositories and names. The rebalance splits a large repository over as many tasks
+# and files as its size asks for and merges small ones.
 LAYOUT = {"lines": "file_id", "symbols": "name", "imports": "raw_path", "refs": "name", "files": "path"}
 
 
@@ -74,7 +75,7 @@ class FactStore:
     def _write(self, df: DataFrame, table: str, schema: str, snapshot: int) -> None:
         names = [c.strip().split(" ")[0] for c in schema.split(",")]
         (
-            df.select(*names).repartitionByRange("repo", LAYOUT[table]).sortWithinPartitions("repo", LAYOUT[table])
+            df.select(*names).hint("rebalance", "repo").sortWithinPartitions("repo", LAYOUT[table])
             .write.mode("overwrite").parquet(f"{self.root}/{table}/snapshot={snapshot}")
         )
 
