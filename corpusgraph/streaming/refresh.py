@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusgraph.extraction import extract
-from corpusgraph.functions.paths import is_supported
+from corpusgraph.functions.paths import base_name, is_supported
 from corpusgraph.operators.incremental import PATH_KEY, classify_changes, refresh_stats
-from corpusgraph.runtime import materialise
+from corpusgraph.runtime import is_empty, materialise
 from corpusgraph.sources import ignore, tree
 from corpusgraph.sources.store import FactStore
 
@@ -49,45 +49,35 @@ def apply_changes(store: FactStore, snapshot: int, present: DataFrame, gone: Dat
     return versioned.select("repo", "path", "file_id").join(found, "file_id", "left").na.fill(0, ["n"]).drop("file_id")
 
 
-def _ignore_rules(spark: SparkSession, root: str, repo: str | None) -> DataFrame:
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ".gitignore").load(root)
-    )
-    located = tree._locate(raw, root, repo, "content")
-    base = F.regexp_replace(F.regexp_replace("rel_path", "[.]gitignore$", ""), "/$", "")
-    return ignore.parse_rules(located.select("repo", base.alias("base_dir"), F.col("content").cast("string").alias("content")))
+def _ignore_rules(listed: DataFrame) -> DataFrame:
+    """Rules of all listed ``.gitignore`` files."""
+    rule_files = listed.where(base_name("rel_path") == ".gitignore")
+    base = F.regexp_replace("rel_path", "/?[.]gitignore$", "").alias("base_dir")
+    text = tree.read_files(rule_files).where("error IS NULL").select("repo", "path", tree.decode_text("content").alias("content"))
+    return ignore.parse_rules(rule_files.select("repo", "path", base).join(text, PATH_KEY).select("repo", "base_dir", "content"))
 
 
 def refresh(spark: SparkSession, root: str, store: FactStore, repo: str | None = None, force: bool = False) -> DataFrame:
     """Bring the store up to date with a source tree and return the counters per repository.
 
-    Metadata decides what is dirty (mtime and size); only then are contents read, and the reader
-    skips files older than the oldest dirty one before opening them. A file that cannot be read
-    is counted as a parse error and leaves the others alone. Running it again changes nothing.
+    Metadata (mtime and size) decides what is dirty, and only dirty files are opened. A file
+    that cannot be read is counted as a parse error and leaves the others alone. Running it
+    again changes nothing.
     """
-    scanned = materialise(
-        ignore.keep_visible(tree.scan_source_tree(spark, root, repo, supported_only=False), _ignore_rules(spark, root, repo)), "scan"
-    )
+    listed = tree.list_tree(spark, root, repo)
+    scanned = materialise(ignore.keep_visible(listed.where("language <> ''"), _ignore_rules(listed)), "scan")
     present = scanned.where(is_supported("language"))
-    stored = store.files()
-    changes = materialise(classify_changes(present, stored, force), "changes")
-    dirty = changes.where("status IN ('new', 'changed')").join(present, PATH_KEY)
+    changes = materialise(classify_changes(present, store.files(), force), "changes")
+    dirty = present.join(changes.where("status IN ('new', 'changed')").select(*PATH_KEY), PATH_KEY)
     stale = changes.where("status = 'stale'")
-    oldest = dirty.agg(F.min("mtime_us")).first()[0]
-    snapshot = store.last_snapshot() + 1
-    none = spark.createDataFrame([], "repo string, path string, n bigint")
+    found = spark.createDataFrame([], "repo string, path string, n bigint")
     errors = spark.createDataFrame([], "repo string, path string, stage string")
-    found = none
-    if oldest is not None or not stale.isEmpty():
-        raw = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root)
-            .where(F.col("modificationTime") >= F.timestamp_micros(F.lit(oldest or 0)))
-        )
-        contents = tree._locate(raw, root, repo, "content").join(dirty.select(*PATH_KEY), PATH_KEY, "left_semi")
-        found = apply_changes(store, snapshot, contents, stale)
-        errors = dirty.select(*PATH_KEY).join(found, PATH_KEY, "left_anti").withColumn("stage", F.lit("parse"))
-    unsupported = scanned.where(~is_supported("language") & (F.col("language") != ""))
+    if not is_empty(changes.where("status <> 'unchanged'")):
+        read = materialise(tree.read_files(dirty), "contents")
+        contents = dirty.join(read.where("error IS NULL").select(*PATH_KEY, "content"), PATH_KEY)
+        found = apply_changes(store, store.last_snapshot() + 1, contents, stale)
+        errors = read.where("error IS NOT NULL").select(*PATH_KEY, F.lit("parse").alias("stage"))
+    unsupported = scanned.where(~is_supported("language"))
     counted = changes.unionByName(unsupported.select(*PATH_KEY, F.lit("new").alias("status")))
     return refresh_stats(counted, scanned, found, errors)
 
