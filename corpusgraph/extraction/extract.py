@@ -201,8 +201,15 @@ def extract_symbols(contents: DataFrame, rules: list[R.SymbolRule] | None = None
     return symbols_of(masked_lines(contents), rules)
 
 
-def symbols_of(lines: DataFrame, rules: list[R.SymbolRule] | None = None) -> DataFrame:
-    found = definition_lines(lines, rules)
+def written_definitions(lines: DataFrame, rules: list[R.SymbolRule] | None = None) -> DataFrame:
+    """The definition lines, written once: block ends, nesting and calls all read them."""
+    return materialise(definition_lines(lines, rules), "definitions")
+
+
+def symbols_of(
+    lines: DataFrame, rules: list[R.SymbolRule] | None = None, definitions: DataFrame | None = None
+) -> DataFrame:
+    found = written_definitions(lines, rules) if definitions is None else definitions
     ends = block_ends(lines.where("language <> 'python'"), found.where("language <> 'python'")).unionByName(
         indented_ends(lines, found)
     )
@@ -226,6 +233,7 @@ def symbols_of(lines: DataFrame, rules: list[R.SymbolRule] | None = None) -> Dat
     plain = with_end.select(
         "repo", "symbol_id", "file_id", "name", "kind", "start_line", "end_line", "start_col", "end_col", "signature", "language"
     )
+    plain = materialise(plain, "flat_symbols")
     nested = nesting(plain)
     holder = plain.select("file_id", F.col("name").alias("parent"), F.col("kind").alias("parent_kind"),
                           F.col("start_line").alias("p_start"), F.col("end_line").alias("p_end"))
@@ -274,7 +282,7 @@ def imports_of(lines: DataFrame, rules: list[R.ImportRule] | None = None) -> Dat
 
 def refs_of(lines: DataFrame, definitions: DataFrame | None = None) -> DataFrame:
     """Call sites, one per call: (repo, file_id, line, ord, name, language); definitions drop out."""
-    defs = (definition_lines(lines) if definitions is None else definitions).select(*FILE, "line", "kind", "name")
+    defs = (written_definitions(lines) if definitions is None else definitions).select(*FILE, "line", "kind", "name")
     calls = F.regexp_extract_all("masked", F.lit(R.CALL), F.lit(0))
     lang, lead = F.col("language"), F.regexp_extract("call", R.CALL_LEAD, 1)
     raw_name = F.regexp_replace(F.regexp_replace("call", R.CALL_LEAD, ""), r"\s*\($", "")

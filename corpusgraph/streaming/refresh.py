@@ -18,11 +18,12 @@ def extract_facts(contents: DataFrame) -> dict[str, DataFrame]:
     """All facts of (repo, file_id, language, content). The masked lines are written once and
     feed the three extractors."""
     lines = extract.masked_lines(contents)
+    definitions = extract.written_definitions(lines)
     return {
         "lines": tree.explode_lines(contents),
-        "symbols": extract.symbols_of(lines),
+        "symbols": extract.symbols_of(lines, definitions=definitions),
         "imports": extract.imports_of(lines),
-        "refs": extract.refs_of(lines),
+        "refs": extract.refs_of(lines, definitions),
     }
 
 

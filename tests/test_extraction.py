@@ -358,9 +358,10 @@ def facts(spark):
     rows = [("r", i, lang, src) for i, (lang, src) in enumerate(sorted(SNIPPETS.items()))]
     src = spark.createDataFrame(rows, "repo string, file_id bigint, language string, content string")
     lines = extract.masked_lines(src)
-    symbols = [r.asDict() for r in extract.symbols_of(lines).collect()]
+    defs = extract.written_definitions(lines)
+    symbols = [r.asDict() for r in extract.symbols_of(lines, definitions=defs).collect()]
     imports = [r.asDict() for r in extract.imports_of(lines).collect()]
-    refs = [r.asDict() for r in extract.refs_of(lines).collect()]
+    refs = [r.asDict() for r in extract.refs_of(lines, defs).collect()]
     return symbols, imports, refs
 
 
