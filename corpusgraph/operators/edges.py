@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from corpusgraph.constants import TRACE_MIN_NAME_BYTES, TRACE_NOISE, TYPE_REF_KINDS
 from corpusgraph.corpus import Corpus
 
-BIN_LINES = 64
+BIN_SHIFT = 6  # bins of 64 lines
 
 
 def _bin(line: str | Column) -> Column:
     col = F.col(line) if isinstance(line, str) else line
-    return F.floor((col - 1) / BIN_LINES).cast("int")
+    return F.shiftright(col - 1, BIN_SHIFT)
 
 
 def binned_ranges(ranges: DataFrame, start: str = "start_line", end: str = "end_line") -> DataFrame:
