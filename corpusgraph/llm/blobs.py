@@ -30,27 +30,26 @@ def cuts(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of equal weight together, so that the empty ones vanish."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _unplanes(raw: bytes, kind: np.dtype) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+def _unplanes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1)
 
 
 def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted ``keys`` and columns of as many uint32 numbers."""
+    """Sorted ``keys`` and columns of as many 64-bit numbers."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    raw = b"".join([_planes(steps), *[_planes(c.astype(np.uint32)) for c in columns]])
+    raw = b"".join([_planes(steps), *[_planes(c.astype(np.uint64, copy=False)) for c in columns]])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unpack(blob: bytes, n_columns: int = 0) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(raw) // (8 + 4 * n_columns)
-    keys = np.cumsum(_unplanes(raw[: 8 * n], np.dtype(np.uint64)), dtype=np.uint64)
-    parts = [raw[8 * n + 4 * n * k : 8 * n + 4 * n * (k + 1)] for k in range(n_columns)]
-    return (keys, *[_unplanes(p, np.dtype(np.uint32)) for p in parts])
+    size = len(raw) // (1 + n_columns)
+    keys, *columns = [_unplanes(raw[k * size : (k + 1) * size]) for k in range(1 + n_columns)]
+    return (np.cumsum(keys, dtype=np.uint64), *columns)
 
 
 def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:

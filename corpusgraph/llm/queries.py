@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontaminate, mixing, quality, secret_scan, substrings
+from corpusgraph.llm import decontaminate, jaccard, language_model, mixing, quality, secret_scan, substrings
 from corpusgraph.runtime import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,22 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("contamination.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"), "contamination.contaminated",
     )
+
+
+@query("op3_jaccard_join")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op2_lm_score")
+def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    # A row without an id has no remainder and is in neither part's name, so it is held out.
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(True)))
+    model = language_model.train(docs.filter("not held_out"))
+    scored = language_model.score(docs, model)
+    return scored.select(
+        "doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "lm.base_score", "lm.score",
+    )
