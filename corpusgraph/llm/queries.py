@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontaminate, jaccard, language_model, mixing, quality, secret_scan, substrings
+from corpusgraph.llm import decontaminate, jaccard, language_model, mixing, quality, secret_scan, substrings, toxicity
 from corpusgraph.runtime import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,15 @@ def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         "lm.base_score", "lm.score",
     )
+
+
+@query("op5_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(remainder != 1))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+    )
