@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontaminate, jaccard, language_model, mixing, quality, secret_scan, substrings, toxicity
+from corpusgraph.llm import decontaminate, html_text, jaccard, language_model, mixing, quality, secret_scan, substrings, toxicity
 from corpusgraph.runtime import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+@query("op1_html_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    text = F.col("main_text")
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 @query("op4_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
