@@ -12,7 +12,8 @@ at 5 to 6 bytes, answers at a bit, and neither a frequent passage nor a source d
 Two different windows share a 64-bit hash with odds of n^2 / 2^65 over n windows, about 1e-5 for 20 million.
 
 Defined results: a null text has no words; texts shorter than a window keep all; repeated rows repeat each other's
-windows and lose them all; an empty table gives no rows; other columns come back with their row.
+windows and lose them all; an empty table gives no rows; other columns come back with their row (one named
+``dedup`` gives way to the result).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from corpusgraph.llm.words import by_document, covered, pieces, split_words, tex
 from corpusgraph.runtime import materialise
 
 WINDOW = 35
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SHARD_KEYS = 4 << 20
 
 
@@ -111,6 +112,7 @@ def remove_repeats(
 ) -> DataFrame:
     """The documents' columns with ``dedup``: n_words, n_removed, kept (the kept words joined by one space) and
     removed (intervals of word numbers, end exclusive). The columns come back under their own names."""
+    documents = documents.drop("dedup")
     names = documents.columns
     packed = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col(text).alias("__text"))
     packed = packed.drop(f"c{names.index(text)}")  # the text travels once
