@@ -6,7 +6,7 @@ document word inside any occurrence of a window is hit, and a document is contam
 are at least ``share`` percent of its words.
 
 Defined results: a null text has no words and is clean; repeated rows are judged each by itself; without
-items nothing is hit; other columns of the documents, whatever their names, pass through untouched.
+items nothing is hit; other columns pass through (one named ``contamination`` gives way to the result).
 
 Benchmarks are test sets, small beside a corpus, but they do grow: the automaton is sent to the workers only
 while the items hold at most ``automaton_bytes`` of text (checked before anything is collected). Beyond that
@@ -131,6 +131,7 @@ def find_contamination(
 ) -> DataFrame:
     """The documents with a struct column ``contamination``: ``n_words``, ``n_hit``, ``items`` (found, sorted as
     strings), ``spans`` (hit ranges in code points of the original text) and ``contaminated``."""
+    documents = documents.drop("contamination")
     out = documents
     groups = item_groups(benchmark, item, item_text, automaton_bytes)
     for k, group in enumerate(groups):

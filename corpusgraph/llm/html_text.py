@@ -11,7 +11,7 @@ Text: character references are decoded, white space in a block becomes one space
 
 Defined results: a null, empty or text-less page gives an empty text; broken or cut markup is read as far as it goes (an
 open tag ends with its page, a lone ``<`` is text); repeated pages are read each by itself; an empty table gives no
-rows; other columns pass through.
+rows; other columns pass through (one named ``main_text`` gives way to the result).
 """
 
 from __future__ import annotations
@@ -309,6 +309,7 @@ def main_text(page: str, tree: Tree) -> str:
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """The pages with ``main_text``."""
     tree = train()
+    pages = pages.drop("main_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in by_document(batches, html):

@@ -17,7 +17,7 @@ the modified Kneser-Ney estimates from the counts of counts of each order.
 
 Tokens: words after lower-casing A-Z, then one end. Defined results: a null or empty text is one end; an unseen
 context leaves all to the lower order; repeated rows count each; an empty training set leaves the uniform level alone;
-other columns pass through. The order is a parameter; 2 is the default because the arrays of order 3 would take more
+other columns pass through (one named ``lm`` gives way to the result). The order is a parameter; 2 is the default because the arrays of order 3 would take more
 shared disk than four times the input.
 """
 
@@ -305,6 +305,7 @@ SCORES = T.StructType([
 def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with a struct column ``lm``: ``n_tokens``, ``n_known`` (tokens seen in training), ``base_score``
     (log10 probability under single words with 0.1 added to each count) and ``score`` (under the model)."""
+    documents = documents.drop("lm")
     total, distinct = model.train_tokens, model.n_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

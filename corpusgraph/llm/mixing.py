@@ -16,7 +16,7 @@ sources and the blocks of one source.
 
 Defined results: a null text has no words; documents without words are never taken; null is a source of its own,
 the last; repeated rows are documents of their own and tie at equal places, which changes no row's total;
-an empty table gives an empty mix; other columns pass through.
+an empty table gives an empty mix; other columns pass through (one named ``mix`` gives way to the result).
 """
 
 from __future__ import annotations
@@ -74,6 +74,7 @@ def mix_sources(
     """The documents with a struct column ``mix``: ``source_size``, ``target`` (of the source), ``taken`` (words
     the mix takes of the document, repeats counted) and ``finish`` (virtual finish time of the first reading).
     ``size`` names a column with the document's words, ``order`` the columns that the shuffle is seeded with."""
+    documents = documents.drop("mix")
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in order]), 2)
     rows = documents.withColumns({"__source": F.col(source), "__size": F.col(size), "__key": key})
     n_rows = rows.count()
@@ -87,18 +88,21 @@ def mix_sources(
     starts = blocks.select(
         F.col("__source").alias("b_source"), F.col("__block").alias("b_block"),
         F.coalesce(F.sum("words").over(before), F.lit(0)).alias("b_start"),
-    ).join(targets, F.col("b_source").eqNullSafe(F.col("source"))).drop("source")
+    ).join(targets, F.col("b_source").eqNullSafe(F.col("source"))).select(
+        F.col("b_source").alias("__b_source"), F.col("b_block").alias("__b_block"), F.col("b_start").alias("__b_start"),
+        F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+    )
 
     within = W.partitionBy("__source", "__block").orderBy("__key", *order, "__size").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
-    handed = F.col("b_start") + F.sum("__size").over(within)
+    handed = F.col("__b_start") + F.sum("__size").over(within)
     rows = rows.join(
-        starts, F.col("__source").eqNullSafe(F.col("b_source")) & (F.col("__block") == F.col("b_block"))
+        starts, F.col("__source").eqNullSafe(F.col("__b_source")) & (F.col("__block") == F.col("__b_block"))
     ).withColumn("__handed", handed)
     kept = [F.col(f"`{c}`") for c in documents.columns]
     queue = materialise(
-        rows.select(*kept, "__size", "__key", "__handed", "source_size", "target"), "mix-queue"
+        rows.select(*kept, "__size", "__key", "__handed", "__source_size", "__target"), "mix-queue"
     )
 
     last = cut(queue, float(targets.agg(F.sum("target")).first()[0] or 0.0), repeats, n_blocks)
@@ -106,15 +110,16 @@ def mix_sources(
     for reading in range(repeats):
         taken = taken + F.when(_stamp(reading) <= F.struct(*[F.lit(v) for v in last]), F.col("__size")).otherwise(0)
     mix = F.struct(
-        "source_size", "target", taken.cast("long").alias("taken"), _finish(0).alias("finish"),
+        F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        taken.cast("long").alias("taken"), _finish(0).alias("finish"),
     )
     return queue.select(*kept, mix.alias("mix"))
 
 
 def _finish(reading: int) -> Column:
     """Virtual finish time of a reading of the document; sources without words have none and stay last."""
-    handed = F.col("__handed") + F.lit(reading) * F.col("source_size")
-    return F.when(F.col("target") > 0, handed / F.col("target")).otherwise(F.lit(float(1 << 40)))
+    handed = F.col("__handed") + F.lit(reading) * F.col("__source_size")
+    return F.when(F.col("__target") > 0, handed / F.col("__target")).otherwise(F.lit(float(1 << 40)))
 
 
 def _stamp(reading: int) -> Column:

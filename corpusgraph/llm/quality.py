@@ -13,7 +13,8 @@ text. It fails with fewer than ``least_words`` words, with more than ``repeat_sh
 repeated windows, or if failing lines hold more than ``lost_share`` percent of its words.
 
 Defined results: a null or empty text has no words and fails; repeated rows are judged each by itself; a text
-of one huge line is one line; an empty table gives no rows; other columns pass through.
+of one huge line is one line; an empty table gives no rows; other columns pass through (one named
+``quality`` gives way to the result).
 """
 
 from __future__ import annotations
@@ -120,6 +121,8 @@ def quality_rules(documents: DataFrame, text: str = "text") -> DataFrame:
     """The documents with a struct column ``quality``: the counts, ``base_failed``, ``kept`` and ``clean_text``
     (the lines that stay)."""
 
+    documents = documents.drop("quality")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in by_document(batches, text):
             counts, chars, repeated = repeat_words(data, offsets)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontaminate, html_text, jaccard, language_model, mixing, quality, secret_scan, substrings, toxicity
+from corpusgraph.llm import decontaminate, html_text, jaccard, language_model, mixing, quality, secret_scan, substrings, token_counts, toxicity
 from corpusgraph.runtime import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,9 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query("op6_token_counts")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return counted.select("doc_id", "tokens.n_words", "tokens.n_tokens")

@@ -17,7 +17,8 @@ randomness at ``LEAST_P`` and the decoys' share at its distance puts the false-d
 at ``FALSE_RATE`` or lower. Both counts are a histogram of at most ``LENGTHS * DISTANCES`` rows over the corpus.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each by itself; an empty table gives no
-rows; a token of any length is one candidate; other columns pass through.
+rows; a token of any length is one candidate; other columns pass through (one named
+``secrets`` gives way to the result).
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def _as_kind(spans: Column, kind: int) -> Column:
 
 
 def scan_texts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with ``found``: base spans as (start, kind, end), and the candidates and decoys of the tests."""
+    """The documents with ``__found``: base spans as (start, kind, end), and the candidates and decoys of the tests."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = []
     for number, (_, pattern, group, least) in enumerate(PATTERNS):
@@ -162,12 +163,12 @@ def scan_texts(documents: DataFrame, text: str = "text") -> DataFrame:
         _length_class(m["token"]).alias("length"), distance(m["token"]).alias("distance"),
     ))
     tested = F.filter(tokens, lambda t: t["mixed"] | t["decoy"])
-    return documents.withColumn("found", F.struct(F.concat(*base).alias("base"), tested.alias("tokens")))
+    return documents.withColumn("__found", F.struct(F.concat(*base).alias("base"), tested.alias("tokens")))
 
 
 def discoveries(scanned: DataFrame) -> DataFrame:
     """(length, level): in each class of lengths, the distance up to which candidates are secrets."""
-    token = F.explode("found.tokens").alias("t")
+    token = F.explode("__found.tokens").alias("t")
     near = F.least(F.floor(F.col("t.distance") * 4), F.lit(DISTANCES)).cast("int")
     counts = scanned.select(token).groupBy(F.col("t.length").alias("length"), near.alias("near")).agg(
         F.count_if("t.mixed").alias("mixed"), F.count_if("t.decoy").alias("decoys")
@@ -186,18 +187,18 @@ def discoveries(scanned: DataFrame) -> DataFrame:
 def judge(scanned: DataFrame) -> DataFrame:
     """What ``scan_texts`` gave, as ``secrets``: all spans (start, kind, end) in order, and the base spans alone."""
     levels = discoveries(scanned).agg(F.map_from_entries(F.collect_list(F.struct("length", "level")))).first()[0]
-    base = F.array_sort(F.col("found.base"))
+    base = F.array_sort(F.col("__found.base"))
 
     def is_secret(t: Column) -> Column:
         limit = F.lit(-1.0)  # at most LENGTHS levels
         for length, value in sorted(levels.items()):
             limit = F.when(t["length"] == int(length), F.lit(float(value))).otherwise(limit)
-        known = F.exists(F.col("found.base"), lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))
+        known = F.exists(F.col("__found.base"), lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))
         return t["mixed"] & (t["distance"] <= limit) & (random_p(t["distance"]) >= LEAST_P) & ~known
 
-    added = _as_kind(F.filter(F.col("found.tokens"), is_secret), len(PATTERNS))
-    spans = F.array_sort(F.concat(F.col("found.base"), added))
-    return scanned.withColumn("secrets", F.struct(base.alias("base"), spans.alias("spans"))).drop("found")
+    added = _as_kind(F.filter(F.col("__found.tokens"), is_secret), len(PATTERNS))
+    spans = F.array_sort(F.concat(F.col("__found.base"), added))
+    return scanned.withColumn("secrets", F.struct(base.alias("base"), spans.alias("spans"))).drop("__found")
 
 
 def find_secrets(documents: DataFrame, text: str = "text") -> DataFrame:

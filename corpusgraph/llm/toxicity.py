@@ -15,7 +15,7 @@ in the order of a hash of their ids. Scoring covers all documents and whole text
 
 Defined results: a null or empty text has no windows and gets the score of log-odds 0; repeated rows score alike;
 without toxic or without ordinary labels all documents get the share of toxic labels; an empty table gives no rows;
-other columns pass through.
+other columns pass through (one named ``toxicity`` gives way to the result).
 """
 
 from __future__ import annotations
@@ -203,6 +203,8 @@ def train(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
 def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with ``toxicity``, between 0 and 1."""
 
+    documents = documents.drop("toxicity")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, known = model.meter(), {}
         for rows, data, offsets in by_document(batches, text):
