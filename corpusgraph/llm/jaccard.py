@@ -316,7 +316,7 @@ def verified(
     wanted = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")))
     body = documents.select(F.col(id).alias("id"), F.col(text).alias("text"))
     sets = (
-        body.join(wanted.withColumnRenamed("rep", "id_"), F.col("id").eqNullSafe(F.col("id_")))
+        body.join(wanted.withColumnRenamed("rep", "id_").hint("merge"), F.col("id").eqNullSafe(F.col("id_")))
         .select("cls", "size", "root", "block", "blocks", "text")
         .mapInArrow(shingles, "cls long, size long, root long, block long, blocks long, set binary")
     )
