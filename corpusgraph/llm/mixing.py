@@ -106,9 +106,10 @@ def mix_sources(
     )
 
     last = cut(queue, float(targets.agg(F.sum("target")).first()[0] or 0.0), repeats, n_blocks)
+    end = F.struct(F.lit(last[0]), F.lit(last[1]).cast("long"), F.lit(last[2]))
     taken = F.lit(0)
     for reading in range(repeats):
-        taken = taken + F.when(_stamp(reading) <= F.struct(*[F.lit(v) for v in last]), F.col("__size")).otherwise(0)
+        taken = taken + F.when(_stamp(reading) <= end, F.col("__size")).otherwise(0)
     mix = F.struct(
         F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         taken.cast("long").alias("taken"), _finish(0).alias("finish"),

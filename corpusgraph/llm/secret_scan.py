@@ -23,6 +23,8 @@ rows; a token of any length is one candidate; other columns pass through (one na
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -77,6 +79,11 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _chi_squared(numbers: Column, n: Column, k: Column) -> Column:
     """Standard score of chi-squared against a uniform alphabet of ``k`` characters, not below 0."""
     squares = F.aggregate(
@@ -89,26 +96,29 @@ def _chi_squared(numbers: Column, n: Column, k: Column) -> Column:
 
 def _runs(numbers: Column, n: Column, k: Column) -> Column:
     """Standard score of the number of runs above and below the middle of the alphabet."""
-    sides = F.transform(numbers, lambda x: (x * 2 >= k).cast("double"))
-    high = F.aggregate(sides, F.lit(0.0), lambda a, x: a + x)
-    low = n - high
-    changes = F.aggregate(
-        F.zip_with(F.slice(sides, 2, 1 << 30), sides, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)), F.lit(0.0),
-        lambda a, x: a + F.coalesce(x, F.lit(0.0)),
-    )
-    mean = 2 * high * low / n + 1
-    variance = (mean - 1) * (mean - 2) / (n - 1)
-    # On one side only: as far off as the binomial odds of that, n halvings.
-    return F.when(variance > 0, (changes + 1 - mean) / F.sqrt(variance)).otherwise(F.sqrt(n))
+
+    def split(sides: Column) -> Column:
+        high = F.aggregate(sides, F.lit(0.0), lambda a, x: a + x)
+        changed = F.zip_with(F.slice(sides, 2, 1 << 30), sides, lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
+        changes = F.aggregate(changed, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        mean = 2 * high * (n - high) / n + 1
+        variance = (mean - 1) * (mean - 2) / (n - 1)
+        # On one side only: as far off as the binomial odds of that, n halvings.
+        return F.when(variance > 0, (changes + 1 - mean) / F.sqrt(variance)).otherwise(F.sqrt(n))
+
+    return _let(F.transform(numbers, lambda x: (x * 2 >= k).cast("double")), split)
 
 
 def _serial(numbers: Column, n: Column) -> Column:
     """Standard score of the correlation of neighbours."""
-    mean = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    products = F.zip_with(F.slice(numbers, 2, 1 << 30), numbers, lambda a, b: (a - mean) * (b - mean))
-    along = F.aggregate(products, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    return F.when(spread > 0, along / spread * F.sqrt(n)).otherwise(F.sqrt(n))
+
+    def around(mean: Column) -> Column:
+        spread = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        products = F.zip_with(F.slice(numbers, 2, 1 << 30), numbers, lambda a, b: (a - mean) * (b - mean))
+        along = F.aggregate(products, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        return F.when(spread > 0, along / spread * F.sqrt(n)).otherwise(F.sqrt(n))
+
+    return _let(F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x) / n, around)
 
 
 def distance(token: Column) -> Column:
@@ -116,15 +126,16 @@ def distance(token: Column) -> Column:
     alphabet = F.lit(_BASE64)
     for letters, form in reversed(ENCODINGS):
         alphabet = F.when(token.rlike(form), F.lit(letters)).otherwise(alphabet)
-    k = F.when(alphabet == _BASE64, F.lit(64)).otherwise(F.length(alphabet)).cast("double")
-    place = F.transform(F.split(token, ""), lambda c: F.struct(c.alias("c"), F.instr(alphabet, c).alias("at")))
-    # + and -, / and _ close the two base64 alphabets.
-    numbers = F.transform(
-        F.filter(place, lambda p: p["c"] != ""),
-        lambda p: F.when(p["at"] > 0, p["at"] - 1).when(p["c"].isin("+", "-"), 62).otherwise(63).cast("double"),
-    )
-    n = F.length(token).cast("double")
-    return F.pow(_chi_squared(numbers, n, k), 2.0) + F.pow(_runs(numbers, n, k), 2.0) + F.pow(_serial(numbers, n), 2.0)
+    def score(letters: Column) -> Column:
+        k = F.when(letters == _BASE64, F.lit(64)).otherwise(F.length(letters)).cast("double")
+        n = F.length(token).cast("double")
+        # + and -, / and _ close the two base64 alphabets.
+        numbers = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.when(
+            F.instr(letters, c) > 0, F.instr(letters, c) - 1).when(c.isin("+", "-"), 62).otherwise(63).cast("double"))
+        return _let(numbers, lambda x: (
+            F.pow(_chi_squared(x, n, k), 2.0) + F.pow(_runs(x, n, k), 2.0) + F.pow(_serial(x, n), 2.0)))
+
+    return _let(alphabet, score)
 
 
 def random_p(distance: Column) -> Column:
