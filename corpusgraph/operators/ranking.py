@@ -6,18 +6,32 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from corpusgraph.constants import KIND_PRIORITY
 from corpusgraph.functions.paths import depth_of
 
 
+#: Parts of a key that are ranked apart when many rows of it are wanted.
+PARTS = 64
+
+
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key in a total order, with their 1-based ``rank``.
 
-    ``row_number() <= k`` is planned with a group limit in front of the shuffle: every map task
-    sends at most ``k`` rows per key, so a hot key never lands whole in one task.
+    For a small ``k``, ``row_number() <= k`` is planned with a group limit in front of the shuffle: every map task
+    sends at most ``k`` rows per key, so a hot key never lands whole in one task. Spark leaves that limit out above
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; then a first window over parts of each key keeps the first
+    ``k`` of each part, and the second sees no more than those.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > threshold:
+        rows = [c for c in df.columns if not isinstance(df.schema[c].dataType, MapType)]
+        part = F.pmod(F.xxhash64(*rows), F.lit(PARTS))
+        own = Window.partitionBy(*keys, "__part").orderBy(*order)
+        df = df.withColumn("__part", part).withColumn("__place", F.row_number().over(own)).where(
+            F.col("__place") <= k).drop("__part", "__place")
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 

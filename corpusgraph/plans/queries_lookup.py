@@ -35,7 +35,7 @@ def values_rows(table: dict[str, str]) -> str:
 @query("scan_source_tree")
 def scan_source_tree(spark, sf):
     """The folder of the given tables is the tree that is listed."""
-    return tree.list_tree(spark, sf, "testdata")
+    return tree.list_tree(spark, sf, "testdata").drop("failed")
 
 
 @query("file_hashes", "SELECT 'repo_' || lang AS repo, doc_id AS file_id, sha256(text) AS hash FROM documents")

@@ -20,11 +20,19 @@ from corpusgraph.constants import SKIP_DIRECTORIES
 from corpusgraph.functions.paths import base_name, detect_language, is_supported
 from corpusgraph.runtime import is_empty, materialise
 
-ENTRY_SCHEMA = "path STRING, rel_path STRING, is_dir BOOLEAN, mtime_us BIGINT, size BIGINT"
+ENTRY_SCHEMA = "path STRING, rel_path STRING, is_dir BOOLEAN, mtime_us BIGINT, size BIGINT, failed BOOLEAN"
+# Names that Spark has for a store, and the one that the file system library knows.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs", "s3": "s3"}
 CONTENT_SCHEMA = "repo STRING, path STRING, content BINARY, error STRING"
 READ_CHUNK_BYTES = 32 << 20
 
 
+def _known(path: str) -> str:
+    """The path under the scheme that the file system library knows."""
+    scheme, rest = path.split("://", 1)
+    return f"{SCHEMES[scheme]}://{rest}"
+
+
 def _list_folder(path: str) -> list[tuple[str, str, bool, int, int]]:
     """(path, name, is_dir, mtime_us, size) of a folder's entries; links are never followed."""
     if "://" not in path:
@@ -33,8 +41,8 @@ def _list_folder(path: str) -> list[tuple[str, str, bool, int, int]]:
         return [(e.path, e.name, e.is_dir(follow_symlinks=False), s.st_mtime_ns // 1000, s.st_size) for e, s in stats]
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
     scheme = path.split("://", 1)[0]
+    system, inner = fs.FileSystem.from_uri(_known(path))
     infos = system.get_file_info(fs.FileSelector(inner))
     return [
         (f"{scheme}://{i.path}", i.base_name, i.type == fs.FileType.Directory, (i.mtime_ns or 0) // 1000, i.size or 0)
@@ -48,21 +56,22 @@ def _read_file(path: str) -> bytes:
             return f.read()
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = fs.FileSystem.from_uri(_known(path))
     with system.open_input_stream(inner) as f:
         return f.read()
 
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "rel_path", "is_dir", "mtime_us", "size"]
+    columns = ["path", "rel_path", "is_dir", "mtime_us", "size", "failed"]
     for batch in batches:
         for folder, rel in zip(batch["path"], batch["rel_path"]):
             try:
                 entries = _list_folder(folder)
-            except OSError:  # an unreadable folder is skipped, as an empty one would be
-                entries = []
+            except OSError:  # named, so that nobody takes what lies below for deleted
+                yield pd.DataFrame([(folder, rel, False, 0, 0, True)], columns=columns)
+                continue
             yield pd.DataFrame(
-                [(p, f"{rel}/{name}" if rel else name, d, m, s) for p, name, d, m, s in entries], columns=columns
+                [(p, f"{rel}/{name}" if rel else name, d, m, s, False) for p, name, d, m, s in entries], columns=columns
             )
 
 
@@ -86,7 +95,11 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def list_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
     """Every file below ``root`` outside skipped and hidden folders: repo, path, rel_path,
-    language, mtime_us, size. Hidden *files* are listed."""
+    language, mtime_us, size. Hidden *files* are listed. Folders that cannot be listed are rows
+    with ``failed`` and no language."""
+    scheme = root.split("://", 1)[0] if "://" in root else "file"
+    if scheme != "file" and scheme not in SCHEMES:
+        raise ValueError(f"cannot list {scheme}:// trees; known are file, {', '.join(SCHEMES)}")
     plain = root.removeprefix("file://").rstrip("/")
     folders = spark.createDataFrame([(plain, "")], "path string, rel_path string")
     cores = spark.sparkContext.defaultParallelism
@@ -107,7 +120,8 @@ def list_tree(spark: SparkSession, root: str, repo: str | None = None) -> DataFr
     else:
         repo_col, rel = F.lit(repo), below
     return reduce(DataFrame.unionByName, levels).select(
-        repo_col.alias("repo"), "path", rel.alias("rel_path"), detect_language(rel).alias("language"), "mtime_us", "size"
+        repo_col.alias("repo"), "path", rel.alias("rel_path"), 
+        F.when(F.col("failed"), "").otherwise(detect_language(rel)).alias("language"), "mtime_us", "size", "failed",
     )
 
 
@@ -118,7 +132,7 @@ def scan_source_tree(spark: SparkSession, root: str, repo: str | None = None, su
     repository. Files without a known language drop out, and by default those the extraction
     does not support. Ignore rules are a step of their own, see :mod:`corpusgraph.sources.ignore`.
     """
-    files = list_tree(spark, root, repo).where("language <> ''")
+    files = list_tree(spark, root, repo).where("language <> ''").drop("failed")
     return files.where(is_supported("language")) if supported_only else files
 
 

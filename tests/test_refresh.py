@@ -67,6 +67,10 @@ RULES = [  # (rule file lines per folder, path, ignored)
     ({"": "*.rb", "sub": "!a.rb"}, "sub/a.rb", False),
     ({"": "sub/", "sub": "!a.rb"}, "sub/a.rb", True),
     ({"": "# *.rb\n\n"}, "a.rb", False),
+    ({"": "[z-a].py\n*.go"}, "b.py", False),  # a class that cannot be is no match and harms no other rule
+    ({"": "[z-a].py\n*.go"}, "b.go", True),
+    ({"": "[[:alpha:]].py"}, "b.py", False),
+    ({"": "[a-c].py"}, "b.py", True),
 ]
 
 
@@ -145,6 +149,52 @@ def test_stream_latest_event_wins(spark, tmp_path):
     assert {n for _, n, _ in visible(store)} == {"A2", "c2"}
 
 
+def test_stream_keeps_what_a_batch_stored(spark, repo, tmp_path):
+    store = FactStore(spark, str(tmp_path / "store"))
+    rf.refresh(spark, str(repo), store, "r")
+    before = visible(store)
+    source = tmp_path / "feed"
+    spark.createDataFrame([("s", "/n", "n.go", "go", "upsert", 5, 1, GO % "N")], FEED).coalesce(1).write.parquet(str(source))
+    for checkpoint in ("one", "two"):  # another checkpoint on the same store is another writer
+        feed = spark.readStream.schema(FEED).parquet(str(source))
+        rf.refresh_stream(feed, store, str(tmp_path / checkpoint)).awaitTermination()
+        assert visible(store) == before | {("n.go", "N", 3)}
+
+
+def test_equal_time_is_settled_by_sequence(spark, tmp_path):
+    events = [("r", "/a", "a.go", "go", "upsert", 10, n, GO % f"V{n}") for n in (1, 2, 3)]
+    for batches in ([events], [[e] for e in events], [[events[2]], events[:2]]):
+        store = FactStore(spark, str(tmp_path / f"store{len(batches)}{len(batches[0])}"))
+        for k, rows in enumerate(batches):
+            rf.refresh_batch(store, spark.createDataFrame(rows, FEED), k)
+        assert {n for _, n, _ in visible(store)} == {"V3"}
+
+
+def test_unlisted_folder_deletes_nothing(spark, repo, tmp_path, monkeypatch):
+    store = FactStore(spark, str(tmp_path / "store"))
+    rf.refresh(spark, str(repo), store, "r")
+    before = visible(store)
+    hidden = repo / "pkg"
+    listed = tree.list_tree
+
+    def broken(*args):
+        rows = listed(*args)
+        below = F.startswith("path", F.lit(f"{hidden}/"))
+        lost = spark.createDataFrame([("r", str(hidden), "pkg", "", 0, 0, True)], rows.schema)
+        return rows.where(~below).unionByName(lost)
+
+    monkeypatch.setattr(tree, "list_tree", broken)
+    row = rf.refresh(spark, str(repo), store, "r").first()
+    assert row["stale_removed"] == 0 and visible(store) == before
+
+
+def test_folder_errors_are_rows(spark, tmp_path):
+    rows = tree.list_tree(spark, str(tmp_path / "nowhere"), "r").collect()
+    assert [(r["path"], r["failed"], r["language"]) for r in rows] == [(str(tmp_path / "nowhere"), True, "")]
+    with pytest.raises(ValueError, match="dbfs"):
+        tree.list_tree(spark, "dbfs://x", "r")
+
+
 def test_latest_state_stream(spark, tmp_path):
     rows = [("r", "/a", "upsert", "2024-01-01 10:00:00", 1), ("r", "/a", "delete", "2024-01-01 10:05:00", 2), ("r", "/b", "upsert", "2024-01-01 10:01:00", 3)]
     schema = "repo string, path string, op string, ts timestamp, event_id bigint"
