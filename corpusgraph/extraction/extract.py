@@ -48,7 +48,7 @@ def masked_content() -> Column:
         hollow = F.regexp_replace(piece, r"[^\n]", " ")
         quote = F.substring(piece, 1, 1)
         is_string = quote.isin('"', "'", "`") & (F.length(piece) >= 2)
-        return F.when(is_string, F.concat(quote, F.substring(hollow, 3, 1_000_000_000), quote)).otherwise(hollow)
+        return F.when(is_string, F.concat(quote, F.substring(hollow, F.lit(3), F.length(hollow)), quote)).otherwise(hollow)
 
     def masked(piece: Column) -> Column:
         candidate = (F.length(piece) > 1) & F.substring(piece, 1, 1).isin('"', "'", "`", "/", "#", "-", "=")

@@ -400,9 +400,8 @@ def context_window(spark, sf):
     , looked AS (SELECT s.repo, s.target, sum(strlen(s.rel_path || ':' || s.line || ':' || l.text) + 1) AS b
         FROM (SELECT DISTINCT repo, target, file_id, rel_path, line FROM ox_refs50 WHERE rank <= 20) s
         JOIN fx_lines l ON l.file_id = s.file_id AND l.line = s.line GROUP BY s.repo, s.target),
-    words AS (SELECT DISTINCT repo, file_id, line, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM fx_lines),
     grep AS (SELECT t.repo, t.target, sum(strlen(f.rel_path || ':' || l.line || ':' || l.text) + 1) AS b
-        FROM fx_names t JOIN words w ON w.repo = t.repo AND w.w = t.target JOIN fx_lines l ON l.file_id = w.file_id AND l.line = w.line
+        FROM fx_names t JOIN fx_lines l ON l.repo = t.repo AND contains(l.text, t.target)
         JOIN fx_files f ON f.file_id = l.file_id GROUP BY t.repo, t.target)
     SELECT t.repo, t.target, CAST(coalesce(k.b, 0) AS BIGINT) AS lookup_bytes, CAST(coalesce(g.b, 0) AS BIGINT) AS grep_bytes,
       CASE WHEN coalesce(g.b, 0) > 0 THEN round(100.0 * (1 - coalesce(k.b, 0)::DOUBLE / g.b::DOUBLE), 2) END AS saving_pct

@@ -58,6 +58,18 @@ def glob_regex(pattern: Column, anchored: Column) -> Column:
     def quoted(text: Column) -> Column:
         return F.concat(F.lit("\\Q"), text, F.lit("\\E"))
 
+    def members(t: Column) -> Column:
+        """A character class's own text for the regular expression; a range that runs backwards matches nothing,
+        as the whole pattern then does."""
+        inner = F.regexp_replace(t, "([\\[&^])", "\\\\$1")
+        ranges = F.regexp_extract_all(t, F.lit("[^\\[\\]]-[^\\[\\]]"), F.lit(0))
+        backwards = F.exists(ranges, lambda r: F.substring(r, 1, 1) > F.substring(r, 3, 1))
+        return F.when(backwards, F.lit(None)).otherwise(inner)
+
+    def bracket(t: Column, start: int, head: str) -> Column:
+        own = members(F.substring(t, F.lit(start), F.length(t) - start))
+        return F.coalesce(F.concat(F.lit(head), own, F.lit("]")), F.lit("(?!)"))
+
     def piece(t: Column) -> Column:
         first, second = F.substring(t, 1, 1), F.substring(t, 2, 1)
         braces = F.contains(pattern, F.lit("{"))
@@ -67,8 +79,8 @@ def glob_regex(pattern: Column, anchored: Column) -> Column:
             .when(t == "**/", "(?:[^/]+/)*")
             .when((t == "**") & (t == pattern), ".*")
             .when(first == "*", "[^/]*").when(t == "?", "[^/]")
-            .when((first == "[") & (F.length(t) > 2) & second.isin("!", "^"), F.concat(F.lit("[^/"), F.substring(t, 3, 10_000)))
-            .when((first == "[") & (F.length(t) > 2), t)
+            .when((first == "[") & (F.length(t) > 2) & second.isin("!", "^"), bracket(t, 3, "[^/"))
+            .when((first == "[") & (F.length(t) > 2), bracket(t, 2, "["))
             .when((t == "{") & braces, "(?:").when((t == "}") & braces, ")").when((t == ",") & braces, "|")
             .otherwise(quoted(t))
         )
