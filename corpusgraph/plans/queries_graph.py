@@ -249,14 +249,22 @@ def refs_impact(spark, sf):
 
 
 @query("importers_by_path", f"""
-    , m AS (SELECT f.repo, f.rel_path AS target, i.file_id, g.rel_path, min(i.raw_path) AS import, 1 AS depth FROM fx_files f
+    , t AS (SELECT repo, rel_path AS target FROM fx_files UNION SELECT repo, raw_path FROM fx_imports
+            UNION SELECT DISTINCT repo, 'no/such.module' FROM fx_files UNION SELECT repo, upper(raw_path) FROM fx_imports),
+    m AS (SELECT f.repo, f.target, i.file_id, g.rel_path, min(i.raw_path) AS import, 1 AS depth FROM t f
     JOIN (SELECT DISTINCT repo, raw_path, file_id FROM fx_imports) i ON i.repo = f.repo
-      AND (ends_with(lower(i.raw_path), lower(f.rel_path)) OR contains(lower(i.raw_path), lower({_STEM.format(p='f.rel_path')})))
-    JOIN fx_files g ON g.file_id = i.file_id GROUP BY f.repo, f.rel_path, i.file_id, g.rel_path)
+      AND (ends_with(lower(i.raw_path), lower(f.target)) OR contains(lower(i.raw_path), lower({_STEM.format(p='f.target')})))
+    JOIN fx_files g ON g.file_id = i.file_id GROUP BY f.repo, f.target, i.file_id, g.rel_path)
     """ + _ranked("repo, target, rel_path, import, depth", "SELECT * FROM m", "repo, target", "rel_path", 50))
 def importers_by_path(spark, sf):
-    targets = fx.corpus(spark, sf).files.select("repo", F.col("rel_path").alias("target"))
-    return graph.find_importers_by_path(import_edges(spark, sf), targets).select(_IMPORTERS)
+    """Targets: every file, every import string as it is and in capitals, and one that nobody imports."""
+    c = fx.corpus(spark, sf)
+    raw = c.imports.select("repo", F.col("raw_path").alias("target"))
+    targets = (
+        c.files.select("repo", F.col("rel_path").alias("target")).union(raw).union(raw.withColumn("target", F.upper("target")))
+        .union(c.files.select("repo", F.lit("no/such.module").alias("target"))).distinct()
+    )
+    return graph.find_importers_by_path(c, import_edges(spark, sf), targets).select(_IMPORTERS)
 
 
 view("ox_fan", _ranked(
