@@ -234,12 +234,20 @@ def symbols_of(
         "repo", "symbol_id", "file_id", "name", "kind", "start_line", "end_line", "start_col", "end_col", "signature", "language"
     )
     plain = materialise(plain, "flat_symbols")
-    nested = nesting(plain)
+    nested = _without_locals(nesting(plain, with_id=True))
     holder = plain.select("file_id", F.col("name").alias("parent"), F.col("kind").alias("parent_kind"),
                           F.col("start_line").alias("p_start"), F.col("end_line").alias("p_end"))
     return _member_kinds(nested, holder)
 
 
+def _without_locals(symbols: DataFrame) -> DataFrame:
+    """Declarations that look like fields but lie directly in a function are its local variables."""
+    holders = symbols.where(F.col("kind").isin(*R.LOCAL_HOLDERS)).select(F.col("symbol_id").alias("parent_id"))
+    fields = symbols.where(F.col("language").isin(*R.LOCALS_LIKE_FIELDS) & (F.col("kind") == "field"))
+    found = fields.join(holders, "parent_id", "left_semi").select("symbol_id")
+    return symbols.join(found, "symbol_id", "left_anti").drop("parent_id")
+
+
 def _member_kinds(symbols: DataFrame, holders: DataFrame) -> DataFrame:
     """Kotlin and Dart functions and Kotlin properties directly inside a type are its members."""
     types = holders.where(F.col("parent_kind").isin("class", "interface", "object", "enum", "mixin", "extension"))

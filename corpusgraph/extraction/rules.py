@@ -232,3 +232,7 @@ NOT_CALLED = (
     "sizeof", "super", "switch", "synchronized", "this", "throw", "try", "typeof", "unless", "until", "use", "using", "when",
     "while", "with", "yield",
 )
+
+# Languages whose local variables are declared like fields.
+LOCALS_LIKE_FIELDS = ("apex", "java")
+LOCAL_HOLDERS = ("constructor", "function", "getter", "method", "setter")

@@ -138,8 +138,8 @@ def type_refs_in_range(c: Corpus, ranges: DataFrame) -> DataFrame:
     return wanted.join(types.dropDuplicates(identity), ["repo", "name"])
 
 
-def nesting(symbols: DataFrame) -> DataFrame:
-    """Parent and depth of every symbol from the ranges alone.
+def nesting(symbols: DataFrame, with_id: bool = False) -> DataFrame:
+    """Parent and depth of every symbol from the ranges alone; ``with_id`` adds the parent's ``parent_id``.
 
     Depth is the number of symbols of the file that enclose it, the parent the nearest of them.
     A range encloses another when it covers it and is larger, or equal and earlier by position
@@ -169,7 +169,7 @@ def nesting(symbols: DataFrame) -> DataFrame:
         inner.join(outer, ["file_id", "bin"]).where(encloses)
         .groupBy("file_id", "bin", "symbol_id")
         .agg(F.count("*").cast("int").alias("depth"), nearest.alias("n"))
-        .select("symbol_id", "depth", F.col("n.name").alias("parent"))
+        .select("symbol_id", "depth", F.col("n.name").alias("parent"), *([(-F.col("n.o_id")).alias("parent_id")] if with_id else []))
     )
     return symbols.drop("parent", "depth").join(found, "symbol_id", "left").withColumns({
         "parent": F.coalesce("parent", F.lit("")), "depth": F.coalesce("depth", F.lit(0)),

@@ -387,3 +387,12 @@ def test_signatures(facts):
     assert by["java", "Store", "class"].strip() == "public class Store extends Base"
     assert by["python", "Base", "class"] == "class Base:"
     assert by["go", "Limit", "constant"] == ""
+
+
+def test_java_locals_are_no_fields(spark):
+    java = "class K {\n    Foo shared = new Foo();\n    K() {\n        Foo own = new Foo();\n    }\n    void run() {\n        Foo f = make(shared);\n        int n;\n    }\n}\n"
+    source = spark.createDataFrame([("r", 1, "java", java)], "repo string, file_id bigint, language string, content string")
+    symbols = extract.symbols_of(extract.masked_lines(source)).collect()
+    assert {(s["name"], s["kind"], s["parent"]) for s in symbols} == {
+        ("K", "class", ""), ("shared", "field", "K"), ("K", "constructor", "K"), ("run", "method", "K"),
+    }
