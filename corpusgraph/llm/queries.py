@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontaminate, html_text, jaccard, language_model, mixing, quality, secret_scan, substrings, token_counts, toxicity
+from corpusgraph.llm import decontaminate, html_text, jaccard, language_model, mixing, oracle, quality, secret_scan, substrings, token_counts, toxicity
 from corpusgraph.runtime import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,13 +67,13 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", oracle.SUBSTRINGS)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.col("dedup.kept"), 256).alias("kept_sha256"))
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", oracle.DECONTAMINATION)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
