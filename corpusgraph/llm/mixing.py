@@ -76,30 +76,30 @@ def mix_sources(
     ``size`` names a column with the document's words, ``order`` the columns that the shuffle is seeded with."""
     documents = documents.drop("mix")
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in order]), 2)
-    rows = documents.withColumns({"__source": F.col(source), "__size": F.col(size), "__key": key})
+    # Never null, so that the join and the window below are dealt out alike and rows travel once.
+    named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    rows = documents.withColumns({"__source": named, "__size": F.col(size), "__key": key})
     n_rows = rows.count()
     n_blocks = max(1, -(-n_rows // block_rows))
     rows = rows.withColumn("__block", F.floor(F.col("__key") / F.lit(float(1 << 62)) * n_blocks))
 
     blocks = materialise(rows.groupBy("__source", "__block").agg(F.sum("__size").alias("words")), "mix-blocks")
-    sizes = blocks.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size"))
+    real = F.when(F.col("__source") != "", F.expr("substring(__source, 2)"))
+    sizes = blocks.groupBy("__source").agg(F.sum("words").alias("source_size")).select(real.alias("source"), "source_size")
     targets = materialise(source_targets(sizes, weights, budget, repeats), "mix-targets")
+    by_source = targets.withColumnRenamed("source", "t_source")
     before = W.partitionBy("__source").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    starts = blocks.select(
-        F.col("__source").alias("b_source"), F.col("__block").alias("b_block"),
-        F.coalesce(F.sum("words").over(before), F.lit(0)).alias("b_start"),
-    ).join(targets, F.col("b_source").eqNullSafe(F.col("source"))).select(
-        F.col("b_source").alias("__b_source"), F.col("b_block").alias("__b_block"), F.col("b_start").alias("__b_start"),
-        F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+    starts = blocks.withColumn("__b_start", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumn(
+        "source", real
+    ).join(by_source, F.col("source").eqNullSafe(F.col("t_source"))).select(
+        "__source", "__block", "__b_start", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
     )
 
     within = W.partitionBy("__source", "__block").orderBy("__key", *order, "__size").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
     handed = F.col("__b_start") + F.sum("__size").over(within)
-    rows = rows.join(
-        starts, F.col("__source").eqNullSafe(F.col("__b_source")) & (F.col("__block") == F.col("__b_block"))
-    ).withColumn("__handed", handed)
+    rows = rows.join(starts, ["__source", "__block"]).withColumn("__handed", handed)
     kept = [F.col(f"`{c}`") for c in documents.columns]
     queue = materialise(
         rows.select(*kept, "__size", "__key", "__handed", "__source_size", "__target"), "mix-queue"
