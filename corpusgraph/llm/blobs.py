@@ -52,6 +52,20 @@ def unpack(blob: bytes, n_columns: int = 0) -> tuple[np.ndarray, ...]:
     return (np.cumsum(keys, dtype=np.uint64), *columns)
 
 
+def pack_words(keys: np.ndarray, words: list[np.ndarray], columns: list[np.ndarray]) -> bytes:
+    """Sorted ``keys``, columns of word hashes and columns of numbers. A word is written once and numbered."""
+    distinct, numbers = np.unique(np.concatenate(words), return_inverse=True)
+    head = pack(distinct)
+    return len(head).to_bytes(8, "little") + head + pack(keys, *numbers.reshape(len(words), -1), *columns)
+
+
+def unpack_words(blob: bytes, n_words: int, n_columns: int) -> tuple[np.ndarray, ...]:
+    body = 8 + int.from_bytes(blob[:8], "little")
+    (distinct,) = unpack(blob[8:body])
+    keys, *columns = unpack(blob[body:], n_words + n_columns)
+    return (keys, *[distinct[c.astype(np.int64)] for c in columns[:n_words]], *columns[n_words:])
+
+
 def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted unique keys, and the sums of the columns over equal keys."""
     if not len(keys):

@@ -5,8 +5,9 @@ blob to each shard (``blobs``). A shard adds up its n-grams, writes them as sort
 for each context how many followers it has once, twice and more often, and for each n-gram without its first word in
 how many ways it was extended (the continuation counts of the next lower order). Lower orders are reduced alike, down
 to single words, which also carry their plain counts. Shards are ranges of hashes of contexts; a context that ends in
-a frequent word is spread by its followers, so no word decides the size of a shard. What is gathered grows with the
-corpus' n-grams; nothing is pruned or capped.
+a frequent word is spread by its followers, so no word decides the size of a shard. A shard holds all n-grams of its
+other contexts and writes those contexts itself; only what it has of spread ones is sent on and added up. What is
+gathered grows with the corpus' n-grams; nothing is pruned or capped.
 
 Scoring. Workers memory-map the sorted arrays and look up a few hundred thousand sorted keys at a time:
 
@@ -17,8 +18,8 @@ the modified Kneser-Ney estimates from the counts of counts of each order.
 
 Tokens: words after lower-casing A-Z, then one end. Defined results: a null or empty text is one end; an unseen
 context leaves all to the lower order; repeated rows count each; an empty training set leaves the uniform level alone;
-other columns pass through (one named ``lm`` gives way to the result). The order is a parameter; 2 is the default because the arrays of order 3 would take more
-shared disk than four times the input.
+other columns pass through (one named ``lm`` gives way to the result). The order is a parameter; the registered query
+takes 3.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ from corpusgraph.llm.words import LOWER, Words, by_document, mix, split_words
 from corpusgraph.runtime import materialise, work_dir
 
 ORDER = 2
-#: n-grams of a shard, and tokens that a task counts before it sends them.
+#: Bigrams of a shard, and those that a task counts before it sends them. Longer n-grams count by their words, so a
+#: shard takes as much memory at any order.
 SHARD_KEYS = 4 << 20
 TASK_TOKENS = 4 << 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -126,11 +128,15 @@ def _frequent(documents: DataFrame, text: str, limit: int) -> tuple[np.ndarray,
     return np.sort(words), sum(r["n"] for r in rows if r["whole"])
 
 
+def is_spread(last: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Whether the n-grams of contexts with these last words lie in several shards."""
+    return np.isin(last, frequent) | (last == BEGIN)
+
+
 def gram_shard(context: np.ndarray, last: np.ndarray, word: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
     """Shard of n-grams, by their context. ``last`` is its last word; after a frequent one, and at the beginning of
     texts, the follower decides as well."""
-    spread = np.isin(last, frequent) | (last == BEGIN)
-    return blobs.shard_of(mix(np.where(spread, context ^ word, context)), bits)
+    return blobs.shard_of(mix(np.where(is_spread(last, frequent), context ^ word, context)), bits)
 
 
 def _sent(context: np.ndarray, last: np.ndarray, rest: list[np.ndarray], counts: list[np.ndarray], frequent: np.ndarray, bits: int):
@@ -138,10 +144,10 @@ def _sent(context: np.ndarray, last: np.ndarray, rest: list[np.ndarray], counts:
     shard = gram_shard(context, last, rest[-1], frequent, bits)
     order = np.lexsort((context, shard))
     shard, context = shard[order], context[order]
-    columns = [c[order] for c in (*rest, *counts)]
+    rest, counts = [r[order] for r in rest], [c[order] for c in counts]
     at = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
     for lo, hi in zip(at[:-1], at[1:], strict=True):
-        yield int(shard[lo]), blobs.pack(context[lo:hi], *[c[lo:hi] for c in columns])
+        yield int(shard[lo]), blobs.pack_words(context[lo:hi], [r[lo:hi] for r in rest], [c[lo:hi] for c in counts])
 
 
 def _rows(kind: str, sent, stats: list[int] | None = None) -> pa.Table:
@@ -153,6 +159,8 @@ def _rows(kind: str, sent, stats: list[int] | None = None) -> pa.Table:
     })
 
 
+#: Of a context: followers it has once, twice and more often, and all their counts.
+FOLLOWERS = ("n1", "n2", "n3", "count")
 SENT = "kind string, shard long, blob binary, stats array<bigint>"
 
 
@@ -164,6 +172,16 @@ def _by_range(keys: np.ndarray, bits: int, *columns: np.ndarray):
             yield shard, blobs.pack(keys[lo:hi], *[c[lo:hi] for c in columns])
 
 
+def _distinct(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A place of each different key, in order of the keys, and the sums of the columns over equal keys."""
+    if not len(keys):
+        return (np.zeros(0, np.int64), *[c.astype(np.int64) for c in columns])
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return (order[at], *[np.add.reduceat(c[order].astype(np.int64), at) for c in columns])
+
+
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return [*np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist(), len(counts), int(counts.sum())]
 
@@ -174,7 +192,7 @@ def train(documents: DataFrame, text: str = "text", order: int = ORDER, shard_ke
     The n-grams of ``order`` words are counted first; each lower order is made from the distinct n-grams above it."""
     spark = documents.sparkSession
     frequent, total = _frequent(documents, text, max(shard_keys // 4, 1))
-    bits = blobs.shard_bits(total, shard_keys)
+    bits = blobs.shard_bits(total * order // 2, shard_keys)
     model = Model(f"{work_dir(spark)}/ngrams-{uuid.uuid4().hex[:12]}", order, bits, frequent)
     folder = model.folder
 
@@ -183,12 +201,14 @@ def train(documents: DataFrame, text: str = "text", order: int = ORDER, shard_ke
         held: list[list[np.ndarray]] = []
 
         def flush():
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            n, *columns = [np.concatenate([h.pop() for h in held]) for _ in range(len(held[0]))]
             held.clear()
-            context, last, rest, n = columns[0], columns[1], columns[2:-1], columns[-1]
-            key, first, back = np.unique(gram_key(context, rest[-1]), return_index=True, return_inverse=True)
-            n = np.bincount(back, weights=n).astype(np.int64)
-            sent = _sent(context[first], last[first], [r[first] for r in rest], [n], frequent, bits)
+            first, n = _distinct(gram_key(columns[-1], columns[0]), n)
+            for k, c in enumerate(columns):
+                columns[k] = c[first]
+            context, words = columns.pop(), columns[::-1]
+            last, rest = words[-2], words[1:] if order == 2 else words
+            sent = _sent(context, last, rest, [n], frequent, bits)
             return _rows("grams", sent).combine_chunks().to_batches()[0]
 
         for _, data, offsets in by_document(batches, text):
@@ -196,8 +216,8 @@ def train(documents: DataFrame, text: str = "text", order: int = ORDER, shard_ke
             before = [history(token, place, k) for k in range(order - 1, 0, -1)]
             context = context_key(before)
             _, first, n = np.unique(gram_key(context, token), return_index=True, return_counts=True)
-            held.append([c[first] for c in (context, before[-1], *before[1:], token)] + [n])
-            if sum(len(h[0]) for h in held) > TASK_TOKENS:
+            held.append([c[first] for c in (context, *(before[1:] or before), token)] + [n])
+            if sum(len(h[0]) for h in held) * order > 2 * TASK_TOKENS:
                 yield flush()
         if held:
             yield flush()
@@ -208,38 +228,47 @@ def train(documents: DataFrame, text: str = "text", order: int = ORDER, shard_ke
         def run(table: pa.Table) -> pa.Table:
             # Behind the context: level - 1 words, the counts, and below the highest order the plain counts too.
             top = level == order
-            parts = [blobs.unpack(b.as_py(), level - 1 + (1 if top else 2)) for b in table.column("blob")]
+            parts = [blobs.unpack_words(b.as_py(), level - 1, 1 if top else 2) for b in table.column("blob")]
             context, *columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
             del parts
             rest, counts = columns[: level - 1], columns[level - 1 :]
-            key, first, back = np.unique(gram_key(context, rest[-1]), return_index=True, return_inverse=True)
-            counts = [np.bincount(back, weights=c.astype(np.float64)).astype(np.int64) for c in counts]
+            del columns
+            first, *counts = _distinct(gram_key(context, rest[-1]), *counts)
             c, plain = counts[0], counts[-1]
             shard = int(table.column("shard")[0].as_py())
-            shared_arrays.write(folder, f"grams{level}", shard, keys=key, count=c)
-            context, rest = context[first], [r[first] for r in rest]
-            followers = blobs.summed(context, c == 1, c == 2, c > 2, c)
-            out = [_rows("contexts", _by_range(followers[0], bits, *followers[1:])), _rows("stats", (), _counts_of_counts(c))]
+            context = context[first]
+            for k, r in enumerate(rest):
+                rest[k] = r[first]
+            shared_arrays.write(folder, f"grams{level}", shard, keys=gram_key(context, rest[-1]), count=c)
+            if level == 2:
+                spread = np.isin(context, context_key([np.append(frequent, BEGIN)]))
+            else:
+                spread = is_spread(rest[-2], frequent)
+            keys, *sums = blobs.summed(context[~spread], *[x[~spread] for x in (c == 1, c == 2, c > 2, c)])
+            write_contexts(f"contexts{level}", shard, keys, *sums)
+            keys, *sums = blobs.summed(context[spread], *[x[spread] for x in (c == 1, c == 2, c > 2, c)])
+            out = [_rows("contexts", _by_range(keys, bits, *sums)), _rows("stats", (), _counts_of_counts(c))]
             one = np.ones(len(c), np.int64)
             if level == 2:
                 words = blobs.summed(rest[-1], one, plain)
                 out.append(_rows("words", _by_range(words[0], bits, *words[1:])))
             else:
                 context, tail = context_key(rest[:-1]), rest[1:]
-                _, first, back = np.unique(gram_key(context, rest[-1]), return_index=True, return_inverse=True)
-                sums = [np.bincount(back, weights=w.astype(np.float64)).astype(np.int64) for w in (one, plain)]
+                first, *sums = _distinct(gram_key(context, rest[-1]), one, plain)
                 sent = _sent(context[first], rest[-2][first], [t[first] for t in tail], sums, frequent, bits)
                 out.append(_rows("grams", sent))
             return pa.concat_tables(out)
 
         return run
 
-    def write_contexts(level: int):
+    def write_contexts(name: str, shard: int, keys: np.ndarray, *sums: np.ndarray) -> None:
+        shared_arrays.write(folder, name, shard, keys=keys, **dict(zip(FOLLOWERS, sums, strict=True)))
+
+    def write_spread(level: int):
         def run(table: pa.Table) -> pa.Table:
             parts = [blobs.unpack(b.as_py(), 4) for b in table.column("blob")]
-            keys, n1, n2, n3, n = blobs.summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
-            shard = int(table.column("shard")[0].as_py())
-            shared_arrays.write(folder, f"contexts{level}", shard, keys=keys, n1=n1, n2=n2, n3=n3, count=n)
+            keys, *sums = blobs.summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+            write_contexts(f"spread{level}", int(table.column("shard")[0].as_py()), keys, *sums)
             return pa.table({"n": pa.array([len(keys)])})
 
         return run
@@ -256,7 +285,7 @@ def train(documents: DataFrame, text: str = "text", order: int = ORDER, shard_ke
         level_rows = materialise(
             level_rows.filter("kind = 'grams'").groupBy("shard").applyInArrow(reduce_level(level), SENT), f"order-{level}")
         model.stats[level] = _total(level_rows.filter("kind = 'stats'"), 6)
-        contexts = level_rows.filter("kind = 'contexts'").groupBy("shard").applyInArrow(write_contexts(level), "n long")
+        contexts = level_rows.filter("kind = 'contexts'").groupBy("shard").applyInArrow(write_spread(level), "n long")
         contexts.agg(F.sum("n")).collect()
     words = level_rows.filter("kind = 'words'").groupBy("shard").applyInArrow(write_words, "stats array<bigint>")
     *model.stats[1], model.train_tokens = _total(words, 7)
@@ -286,8 +315,11 @@ def probabilities(model: Model, token: np.ndarray, place: np.ndarray) -> tuple[n
     for level in range(2, model.order + 1):
         before = [history(token, place, k) for k in range(level - 1, 0, -1)]
         context, d = context_key(before), model.discounts(level)
-        m1, m2, m3, seen = shared_arrays.look_up(
-            folder, f"contexts{level}", blobs.shard_of(context, bits), context, ("n1", "n2", "n3", "count"))
+        followers = np.zeros((len(FOLLOWERS), len(token)), np.int64)
+        spread = is_spread(before[-1], model.frequent)
+        for name, at, spot in ((f"contexts{level}", ~spread, mix(context)), (f"spread{level}", spread, context)):
+            followers[:, at] = shared_arrays.look_up(folder, name, blobs.shard_of(spot[at], bits), context[at], FOLLOWERS)
+        m1, m2, m3, seen = followers
         shard = gram_shard(context, before[-1], token, model.frequent, bits)
         (count,) = shared_arrays.look_up(folder, f"grams{level}", shard, gram_key(context, token), ("count",))
         some = np.maximum(seen, 1)

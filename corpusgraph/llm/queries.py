@@ -95,7 +95,7 @@ def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
     # A row without an id has no remainder and is in neither part's name, so it is held out.
     docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(True)))
-    model = language_model.train(docs.filter("not held_out"))
+    model = language_model.train(docs.filter("not held_out"), order=3)
     scored = language_model.score(docs, model)
     return scored.select(
         "doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),

@@ -1,6 +1,7 @@
 """Sorted hash arrays as files below ``spark.checkpoint.dir``, cut into shards by key range and memory-mapped.
 
-A shard's keys and each of its columns are ``.npy`` files. They are written by the task that made them, under a
+A shard's keys and each of its columns are ``.npy`` files. Most counts are small, so a column takes one byte for each
+value, and the few values of 255 and more lie in a second file with their places. They are written by the task that made them, under a
 temporary name and then renamed, so a task that runs twice leaves one file. Workers map a file where the shared folder
 is mounted; from another kind of store they fetch a shard when they first need it, into their own temporary folder.
 """
@@ -15,6 +16,8 @@ from urllib.parse import urlparse
 import numpy as np
 from pyarrow import fs
 
+#: Value of a one-byte column whose true value lies apart.
+APART = 255
 _mapped: dict[str, np.ndarray] = {}
 
 
@@ -29,17 +32,28 @@ def _store(folder: str) -> tuple[fs.FileSystem, str, bool]:
     return system, path, False
 
 
+def _save(system: fs.FileSystem, path: str, name: str, values: np.ndarray) -> None:
+    passing = f"{path}/.{uuid.uuid4().hex}"
+    with system.open_output_stream(passing) as out:
+        np.save(out, values)
+    system.move(passing, f"{path}/{name}.npy")
+
+
 def write(folder: str, table: str, shard: int, **columns: np.ndarray) -> None:
-    """Columns in the narrowest type that holds them; ``keys`` stay 64 bits wide."""
+    """Columns in one byte for each value with the larger ones apart, or in the narrowest type that holds them all if
+    that is less; ``keys`` stay 64 bits wide."""
     system, path, _ = _store(folder)
     system.create_dir(path, recursive=True)
     for name, values in columns.items():
+        stem = f"{table}-{shard:06d}-{name}"
         if name != "keys":
-            values = values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
-        passing = f"{path}/.{uuid.uuid4().hex}"
-        with system.open_output_stream(passing) as out:
-            np.save(out, values)
-        system.move(passing, f"{path}/{table}-{shard:06d}-{name}.npy")
+            narrow = np.dtype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+            large = np.flatnonzero(values >= APART)
+            if 16 * len(large) < (narrow.itemsize - 1) * len(values):
+                _save(system, path, f"{stem}-apart", np.stack([large, values[large].astype(np.int64)]))
+                values, narrow = np.minimum(values, APART), np.dtype(np.uint8)
+            values = values.astype(narrow)
+        _save(system, path, stem, values)
 
 
 def _open(folder: str, name: str) -> np.ndarray | None:
@@ -57,6 +71,15 @@ def _open(folder: str, name: str) -> np.ndarray | None:
     return _mapped[key]
 
 
+def _values(folder: str, stem: str, places: np.ndarray) -> np.ndarray:
+    values = _open(folder, f"{stem}.npy")[places].astype(np.int64)
+    apart = _open(folder, f"{stem}-apart.npy")
+    if apart is not None:
+        large = np.flatnonzero(values == APART)
+        values[large] = apart[1][np.searchsorted(apart[0], places[large])]
+    return values
+
+
 def look_up(
     folder: str, table: str, shards: np.ndarray, keys: np.ndarray, columns: tuple[str, ...]
 ) -> list[np.ndarray]:
@@ -75,5 +98,5 @@ def look_up(
         hit = known[places] == sorted_keys[lo:hi]
         places, back = places[hit], order[lo:hi][hit]
         for values, name in zip(out, columns, strict=True):
-            values[back] = _open(folder, f"{table}-{shard:06d}-{name}.npy")[places]
+            values[back] = _values(folder, f"{table}-{shard:06d}-{name}", places)
     return out
