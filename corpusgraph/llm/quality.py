@@ -4,7 +4,7 @@ A line with words fails if
 * it is navigation: at least ``bars`` bars or bullets stand as words of their own and make up a fifth of its words;
 * it is shouting: at least ``shouts`` words, and nine in ten of those with letters hold no lower-case letter;
 * it is symbols: at least three of ``[#*$%&|<>]`` and one for every two words;
-* it is boilerplate: one of the phrases of ``BOILERPLATE`` stands in it;
+* it is boilerplate: phrases of ``BOILERPLATE`` stand in it, as whole words, and make up a fifth of its words;
 * it repeats: an earlier line of the document is equal, and it has at least ``repeat_words`` words;
 * its punctuation runs wild: more ``!``, ``?`` and ``…`` than half its words, with four or more of them.
 
@@ -41,7 +41,7 @@ BOILERPLATE = (
     "accept all cookies", "all rights reserved", "click here", "cookie policy", "enable javascript", "privacy policy",
     "read more", "share on", "sign up for", "skip to content", "subscribe to", "terms of service", "we use cookies",
 )
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_BOILERPLATE = re.compile(r"\b(?:" + "|".join(map(re.escape, BOILERPLATE)) + r")\b")
 _NAVIGATION = {"|", "»", "«", "›", "‹", "•", "·", ">", "/", "::"}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -76,7 +76,8 @@ def line_fails(line: str, words: list[str]) -> bool:
         upper = sum(w == w.upper() for w in lettered)
         if len(lettered) >= SHOUTS and upper * 10 >= len(lettered) * 9:
             return True
-    return _BOILERPLATE.search(line.lower()) is not None
+    notice = sum(len(p.split()) for p in _BOILERPLATE.findall(line.lower()))
+    return notice > 0 and notice * 5 >= n
 
 
 def clean_lines(text: str) -> tuple[list[str], int, int]:
