@@ -28,3 +28,44 @@ k AS (SELECT e.r, count(*) AS n, string_agg(word, ' ' ORDER BY e.at) AS kept FRO
       WHERE g.r IS NULL GROUP BY e.r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (r)"""
+
+_PIECES = rf"regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')"
+
+COLLOCATIONS = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, text FROM documents),
+q AS (SELECT r, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+      FROM (SELECT r, lang, unnest(x) AS piece, generate_subscripts(x, 1) AS p FROM (SELECT r, lang, {_PIECES} AS x FROM d))),
+t AS (SELECT lang, sum(len(w)) AS n FROM q GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+      FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM q, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+u AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+c AS (SELECT u.lang, u.phrase, u.f AS a, j, x.f AS l, y.f AS r, CAST(n AS HUGEINT) AS n,
+             (1000 * CAST(u.f AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM u) u JOIN t USING (lang)
+      JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(list_slice(w, 1, j), ' ')
+      JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(list_slice(w, j + 1, u.k), ' ')),
+s AS (SELECT lang, phrase, unnest(arg_min({{'a': a, 'l': l, 'r': r, 'n': n, 'score': score}}, (score, j))) FROM c GROUP BY lang, phrase),
+z AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM (
+        SELECT lang, f AS above, array_to_string(list_slice(w, b, b + m - 1), ' ') AS part
+        FROM (SELECT *, unnest(range(1, k - m + 2)) AS b FROM (SELECT *, unnest(range(1, k)) AS m FROM u))) o
+      WHERE o.lang = s.lang AND o.part = s.phrase AND 100 * o.above >= 100 * s.a)),
+v AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+             a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM z)
+SELECT * FROM v WHERE rank <= 2000"""
+
+_TERMS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nt FROM d WHERE len(w) > 0),
+b AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS t FROM benchmark),
+p AS (SELECT i, unnest(t) AS term FROM b),
+c AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM p) GROUP BY ALL),
+e AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM c, s GROUP BY term, nd),
+x AS (SELECT i, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * nd) // nt)))) AS score
+      FROM c JOIN e USING (term) JOIN p USING (term) JOIN d USING (r), s GROUP BY i, r),
+y AS (SELECT i, doc_id, CAST(score AS BIGINT) AS score,
+             CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank
+      FROM x JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y JOIN b USING (i) WHERE rank <= 10"""

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import decontaminate, html_text, jaccard, language_model, mixing, oracle, quality, secret_scan, substrings, token_counts, toxicity
+from corpusgraph.llm import (
+    collocations, decontaminate, html_text, jaccard, language_model, mixing, oracle, quality, ranked_search, secret_scan,
+    substrings, token_counts, toxicity,
+)
 from corpusgraph.runtime import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +122,13 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
     return counted.select("doc_id", "tokens.n_words", "tokens.n_tokens")
+
+
+@query("op11_phrase_mining", oracle.COLLOCATIONS)
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+@query("op13_ranked_search", oracle.RANKED_SEARCH)
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
