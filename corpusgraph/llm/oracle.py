@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries whose whole result SQL can express."""
 
+from corpusgraph.llm import licenses as _licenses
+from corpusgraph.llm.license_rules import KINDS, RULES
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCHMARK_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
@@ -69,3 +72,31 @@ y AS (SELECT i, doc_id, CAST(score AS BIGINT) AS score,
              CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank
       FROM x JOIN d USING (r) WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM y JOIN b USING (i) WHERE rank <= 10"""
+
+
+def licenses() -> str:
+    """The rules as a table of patterns; containment by comparing each document's detections with one another."""
+    rules = ", ".join(
+        f"({n}, {r.kind}, '{r.label}', '{r.keyword}', '{_licenses.numbered(r.pattern)}', {_licenses.STRENGTH[KINDS[r.kind]]})" for n, r in enumerate(RULES))
+    phrases = ", ".join(f"('{label}', '{_licenses.numbered(p)}')" for p, label in _licenses.PHRASES.items())
+    first = "CAST(regexp_extract(m, '#([0-9]+);', 1) AS BIGINT)"
+    last = "CAST(regexp_extract(m, '#([0-9]+);$', 1) AS BIGINT) + 1"
+    return f"""
+WITH rules(rule, kind, label, keyword, pattern, strength) AS (VALUES {rules}),
+phrases(label, pattern) AS (VALUES {phrases}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_BENCHMARK_WORDS} AS w FROM documents),
+k AS (SELECT r, array_to_string(list_transform(w, lambda x, i: ' ' || x || '#' || (i - 1) || ';'), '') AS line, w FROM d
+      WHERE list_has_any(w, (SELECT list(DISTINCT keyword) FROM rules))),
+f AS (SELECT r, rule, kind, label, strength, {first} AS a, {last} AS b
+      FROM (SELECT r, rule, kind, label, strength, unnest(regexp_extract_all(line, pattern)) AS m
+            FROM k JOIN rules ON list_contains(w, keyword))),
+g AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.r = f.r AND o.kind <= f.kind AND o.a <= f.a AND o.b >= f.b
+      AND (o.a, -o.b, o.kind, o.rule) < (f.a, -f.b, f.kind, f.rule))),
+p AS (SELECT r, label, {first} AS a FROM (SELECT r, label, unnest(regexp_extract_all(line, pattern)) AS m FROM k, phrases)),
+q AS (SELECT r, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+      FROM p GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(strength) AS score
+      FROM (SELECT r, label, strength FROM g UNION ALL SELECT r, label, {_licenses.STRENGTH["name"]} FROM p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN q USING (r) LEFT JOIN l USING (r)"""

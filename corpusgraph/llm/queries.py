@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import (
-    collocations, decontaminate, html_text, jaccard, language_model, mixing, oracle, quality, ranked_search, secret_scan,
+    collocations, decontaminate, html_text, jaccard, language_model, licenses, mixing, oracle, quality, ranked_search, secret_scan,
     substrings, token_counts, toxicity,
 )
 from corpusgraph.runtime import materialise
@@ -129,6 +129,20 @@ def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text"))
 
 
+@query("op12_license_scan", oracle.licenses())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scanned = materialise(licenses.scan_texts(docs).drop("text"), "license-detections")
+    found = licenses.resolve(scanned)
+    base = F.col("licenses.base")
+    return found.select(
+        "doc_id", "licenses.n_words", F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["start"]).alias("first_word"), F.array_max(base["start"]).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base["label"])), ",").alias("base_labels"),
+        F.array_join("licenses.labels", ",").alias("labels"), "licenses.score",
+    )
+
+
 @query("op13_ranked_search", oracle.RANKED_SEARCH)
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
