@@ -149,46 +149,127 @@ def targets(sizes: dict) -> dict:
     return target
 
 
-def kneser_ney(train, texts) -> list[dict]:
-    """Bigram scores with dictionaries."""
-    end = [words(lower(t)) + ["\0end"] for t in train]
-    single = Counter(w for t in end for w in t)
-    pairs = Counter((u, w) for t in end for u, w in zip(["\0begin", *t], t, strict=False))
+def discounts(counts):
+    c = Counter(counts)
+    if not (c[1] and c[2] and c[3]):
+        return [0, 0.5, 1.0, 1.5]
+    y = c[1] / (c[1] + 2 * c[2])
+    raw = [1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / c[3]]
+    return [0, *[min(max(x, 0.0), k + 1.0) for k, x in enumerate(raw)]]
+
+
+def scores(train, texts, order):
+    """log10 probabilities under interpolated modified Kneser-Ney, from n-grams as tuples."""
+    padded = lambda t: ["\0begin"] * (order - 1) + words(lower(t)) + ["\0end"]
+    levels = {order: Counter(tuple(p[k : k + order]) for p in map(padded, train) for k in range(len(p) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    d = {n: discounts(c.values()) for n, c in levels.items()}
+    followers = {n: defaultdict(list) for n in levels}
+    for n, grams in levels.items():
+        for g, c in grams.items():
+            followers[n][g[:-1]].append(c)
+
+    def p(context, w):
+        n = len(context) + 1
+        below = p(context[1:], w) if context else 1 / (len(levels[1]) + 1)
+        seen = followers[n].get(context)
+        if not seen:
+            return below
+        c = levels[n][(*context, w)]
+        return (max(c - d[n][min(c, 3)], 0) + sum(d[n][min(x, 3)] for x in seen) * below) / sum(seen)
+
+    out = []
+    for text in texts:
+        t = padded(text)
+        out.append(sum(math.log10(p(tuple(t[k - order + 1 : k]), t[k])) for k in range(order - 1, len(t))))
+    return out
+
+
+def kneser_ney(train, texts, order: int) -> list[dict]:
+    """The scoring contract, with a model of any order."""
+    single = Counter(w for t in train for w in [*words(lower(t)), "\0end"])
     n, v = sum(single.values()), len(single)
+    out = []
+    for text, score in zip(texts, scores(train, texts, order), strict=True):
+        t = [*words(lower(text)), "\0end"]
+        out.append({
+            "n_tokens": len(t), "n_known": sum(w in single for w in t), "train_tokens": n, "score": score,
+            "base_score": sum(math.log10((single[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t),
+        })
+    return out
 
-    def discounts(counts):
-        c = Counter(counts)
-        if not (c[1] and c[2] and c[3]):
-            return [0, 0.5, 1.0, 1.5]
-        y = c[1] / (c[1] + 2 * c[2])
-        raw = [1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / c[3]]
-        return [0, *[min(max(x, 0.0), k + 1.0) for k, x in enumerate(raw)]]
 
-    ways = Counter(w for _, w in pairs)
-    high, low = discounts(pairs.values()), discounts(ways.values())
-    followers = defaultdict(list)
-    for (u, _), c in pairs.items():
-        followers[u].append(c)
+def collocations(rows, least: int, max_words: int = 5) -> list[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(w)
+            counts.update((lang, *w[i : i + k]) for k in range(1, max_words + 1) for i in range(len(w) - k + 1))
+    often = {p: c for p, c in counts.items() if c >= least}
+    covered = {
+        (q[0], *q[i:j]) for q, c in often.items() for i in range(1, len(q)) for j in range(i + 1, len(q) + 1)
+        if j - i < len(q) - 1 and c >= often[(q[0], *q[i:j])]}
+    kept = defaultdict(list)
+    for (lang, *w), a in often.items():
+        if len(w) < 2:
+            continue
+        cuts = []
+        for k in range(1, len(w)):
+            left, right = often[(lang, *w[:k])], often[(lang, *w[k:])]
+            cuts.append((1000 * a * totals[lang] // (left * right), k, left, right))
+        if (lang, *w) not in covered:
+            score, _, left, right = min(cuts)
+            kept[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return sorted(
+        (lang, rank, p.decode(), -a, left, right, totals[lang], -s)
+        for lang, found in kept.items() for rank, (s, a, p, left, right) in enumerate(sorted(found), 1))
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-    free = sum(low[min(c, 3)] for c in ways.values()) / len(pairs)
 
-    free = sum(low[min(c, 3)] for c in ways.values()) / len(pairs) if pairs else 1.0
-    lower_p: dict[str, float] = {}
+def ranked(docs, items, k: int = 10) -> list[tuple]:
+    """(item, rank, doc, score) of (doc_id, text) and (item_id, text) rows; documents without an id come last."""
+    split = [(i, Counter(TERM.findall(lower(t)))) for i, t in docs]
+    split = [(i, c, c.total()) for i, c in split if c]
+    total, df = sum(n for _, _, n in split), Counter(t for _, c, _ in split for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * len(split) + 2) / (2 * d + 1))) for t, d in df.items()}
+    out = []
+    for item, text in items:
+        found = []
+        for i, c, n in split:
+            m = 10 + 90 * n * len(split) // total
+            score = sum(weight[t] * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in set(TERM.findall(lower(text))) if t in c)
+            if score > 0:
+                found.append((-score, i is None, i or 0))
+        out += [(item, r, None if lost else i, -s) for r, (s, lost, i) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+def licenses(texts, rules, phrases, kinds, strength) -> list[dict]:
+    """Rules on words joined by spaces, detections compared pair by pair."""
     out = []
     for text in texts:
-        t, score, u = words(lower(text)) + ["\0end"], 0.0, "\0begin"
-        for w in t:
-            if w not in lower_p:
-                c = ways[w]
-                lower_p[w] = (max(c - low[min(c, 3)], 0) / len(pairs) if pairs else 0.0) + free / (v + 1)
-            p, f = lower_p[w], followers.get(u)
-            if f:
-                c = pairs[u, w]
-                p = max(c - high[min(c, 3)], 0) / sum(f) + sum(high[min(x, 3)] for x in f) / sum(f) * p
-            score += math.log10(p)
-            u = w
+        w = BENCHMARK_WORD.findall(lower(text))
+        line = f" {' '.join(w)} "
+        number = lambda at: line.count(" ", 0, at)
+        base = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        found = []
+        for n, r in enumerate(rules):
+            if r.keyword in w:
+                found += [(number(m.start() + 1) - 1, number(m.end()), r.kind, n) for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", line)]
+        order = lambda d: (d[0], -d[1], d[2], d[3])
+        stay = [d for d in found if not any(
+            e[0] <= d[0] and e[1] >= d[1] and e[2] <= d[2] and order(e) < order(d) for e in found)]
+        scores = [strength[kinds[d[2]]] for d in stay] + [strength["name"]] * bool(base)
         out.append({
-            "n_tokens": len(t), "n_known": sum(w in single for w in t), "train_tokens": n, "score": score,
-            "base_score": sum(math.log10((single[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t),
+            "n_words": len(w), "n_base": len(base), "first_word": min((k for k, _ in base), default=None),
+            "last_word": max((k for k, _ in base), default=None), "base_labels": ",".join(sorted({x for _, x in base})),
+            "labels": ",".join(sorted({x for _, x in base} | {rules[d[3]].label for d in stay})), "score": max(scores, default=0.0),
+            "spans": sorted(d[:2] for d in stay),
         })
     return out

@@ -1,8 +1,6 @@
 """Scores of any order against dictionaries, and the narrow arrays that hold the counts."""
 
-import math
 import zlib
-from collections import Counter, defaultdict
 
 import brute
 import numpy as np
@@ -12,48 +10,11 @@ from pyspark.sql import functions as F
 from corpusgraph.llm import blobs, language_model, queries, shared_arrays
 
 
-def discounts(counts):
-    c = Counter(counts)
-    if not (c[1] and c[2] and c[3]):
-        return [0, 0.5, 1.0, 1.5]
-    y = c[1] / (c[1] + 2 * c[2])
-    raw = [1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2], 3 - 4 * y * c[4] / c[3]]
-    return [0, *[min(max(x, 0.0), k + 1.0) for k, x in enumerate(raw)]]
-
-
-def scores(train, texts, order):
-    """log10 probabilities under interpolated modified Kneser-Ney, from n-grams as tuples."""
-    padded = lambda t: ["\0begin"] * (order - 1) + brute.words(brute.lower(t)) + ["\0end"]
-    levels = {order: Counter(tuple(p[k : k + order]) for p in map(padded, train) for k in range(len(p) - order + 1))}
-    for n in range(order - 1, 0, -1):
-        levels[n] = Counter(g[1:] for g in levels[n + 1])
-    d = {n: discounts(c.values()) for n, c in levels.items()}
-    followers = {n: defaultdict(list) for n in levels}
-    for n, grams in levels.items():
-        for g, c in grams.items():
-            followers[n][g[:-1]].append(c)
-
-    def p(context, w):
-        n = len(context) + 1
-        below = p(context[1:], w) if context else 1 / (len(levels[1]) + 1)
-        seen = followers[n].get(context)
-        if not seen:
-            return below
-        c = levels[n][(*context, w)]
-        return (max(c - d[n][min(c, 3)], 0) + sum(d[n][min(x, 3)] for x in seen) * below) / sum(seen)
-
-    out = []
-    for text in texts:
-        t = padded(text)
-        out.append(sum(math.log10(p(tuple(t[k - order + 1 : k]), t[k])) for k in range(order - 1, len(t))))
-    return out
-
-
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_scores_of_any_order(tricky, documents, order):
     keep = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(False))
     train = [r[1] for r in tricky if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10]
-    want = scores(train, [r[1] for r in tricky], order)
+    want = brute.scores(train, [r[1] for r in tricky], order)
     for shard_keys in (5000, 4 << 20):
         model = language_model.train(documents.filter(keep), order=order, shard_keys=shard_keys)
         got = {r["row"]: r["score"] for r in language_model.score(documents, model).select("row", "lm.score").collect()}
@@ -65,8 +26,8 @@ def test_registered_query_looks_two_words_back(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.QUERIES["op2_lm_score"](spark, str(tmp_path)).collect()
     train = [texts[r["doc_id"]] for r in rows if not r["held_out"]]
-    assert [r["score"] for r in rows] == pytest.approx(scores(train, [texts[r["doc_id"]] for r in rows], 3))
-    assert [r["score"] for r in rows] != pytest.approx(scores(train, [texts[r["doc_id"]] for r in rows], 2))
+    assert [r["score"] for r in rows] == pytest.approx(brute.scores(train, [texts[r["doc_id"]] for r in rows], 3))
+    assert [r["score"] for r in rows] != pytest.approx(brute.scores(train, [texts[r["doc_id"]] for r in rows], 2))
 
 
 def test_narrow_columns_lose_nothing(tmp_path):

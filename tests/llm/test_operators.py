@@ -156,7 +156,7 @@ def test_language_model(spark, tricky, documents, no_documents, order):
     model = language_model.train(documents.filter(keep), order=order, shard_keys=5000)
     got = by_row(language_model.score(documents, model).select("row", "lm.*"), "n_tokens", "n_known", "base_score", "score")
     train = [r[1] for r in tricky if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10]
-    want = brute.kneser_ney(train, [r[1] for r in tricky])
+    want = brute.kneser_ney(train, [r[1] for r in tricky], 2)
     assert model.train_tokens == want[0]["train_tokens"]
     check(got, tricky, [{c: w[c] for c in ("n_tokens", "n_known", "base_score", *(["score"] if order == 2 else []))} for w in want])
     assert all(g["score"] <= 0 for g in got.values())
@@ -169,7 +169,7 @@ def test_language_model_sums_to_one(spark):
     model = language_model.train(docs)
     one = spark.createDataFrame([(f"a {w}",) for w in ("a", "b", "c", "d", "e", "unseen")] + [("a",)], "text string")
     rows = {r["text"]: r["lm"]["score"] for r in language_model.score(one, model).collect()}
-    want = {t: w["score"] for t, w in zip(rows, brute.kneser_ney([r["text"] for r in docs.collect()], list(rows)), strict=True)}
+    want = {t: w["score"] for t, w in zip(rows, brute.kneser_ney([r["text"] for r in docs.collect()], list(rows), 2), strict=True)}
     assert rows == pytest.approx(want)
 
 

@@ -43,7 +43,7 @@ def test_near_duplicate_query(spark, rows):
 
 def test_language_model_query(spark, rows):
     train = [r["text"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 10]
-    agree(QUERIES["op2_lm_score"](spark, SF_DIR), rows, brute.kneser_ney(train, [r["text"] for r in rows]))
+    agree(QUERIES["op2_lm_score"](spark, SF_DIR), rows, brute.kneser_ney(train, [r["text"] for r in rows], 3))
 
 
 def test_decontamination_query(spark, rows):
