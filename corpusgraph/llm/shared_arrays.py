@@ -18,7 +18,7 @@ from pyarrow import fs
 
 #: Value of a one-byte column whose true value lies apart.
 APART = 255
-_mapped: dict[str, np.ndarray] = {}
+_mapped: dict[str, np.ndarray | None] = {}
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str, bool]:
@@ -62,6 +62,7 @@ def _open(folder: str, name: str) -> np.ndarray | None:
     if key not in _mapped:
         system, path, mounted = _store(folder)
         if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            _mapped[key] = None  # the job that writes shards ends before the first look
             return None
         local = f"{path}/{name}"
         if not mounted:
