@@ -188,9 +188,34 @@ SYMBOL_RULES: list[SymbolRule] = [
     *_rules("bash", ("function", r"^\s*(?:function\s+)([\w:-]+)"), ("function", r"^\s*([\w:-]+)\s*\(\)\s*\{?")),
 ]
 
+# Languages whose lines may hold several statements, and what cuts them: a bracket or semicolon with a word behind it.
+MANY_STATEMENTS = tuple(lang for lang in BRACES if lang != "hcl")
+_HEAD = r"(?=\s*[\w@~#*\[<&])"
+NEXT_STATEMENT = r"[{};]" + _HEAD
+STATEMENT_CUT = r"(?<=[{};])" + _HEAD
+# Parts that the head of a statement may extend over (braces and semicolons inside of its parentheses cut as well).
+STATEMENT_PARTS = 8
+# Lines of a chunk (as a power of two), and bits of a place within a line; LINE_END lies behind all of them.
+CHUNK_SHIFT = 14
+AT_BITS = 28
+LINE_END = (1 << AT_BITS) - 1
+
+CALLABLES = ("function", "method", "constructor", "getter", "setter")
+TYPE_LIKE = ("struct", "class", "interface", "trait", "object", "enum", "mixin", "extension")
+_NESTED = r"(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*"
+# Behind a name: type parameters, then the list.
+BEFORE_PARAMETERS = r"\s*(?:<[^(]*>|\[[^\]]*\])?\s*"
+PARAMETERS = rf"\({_NESTED}\)"
+
 # Lines inside a Go ``const (`` or ``var (`` group define names as well.
 GO_GROUP_NAME = r"^\s+(\w+)\b(?!\s*[.(\[])"
 
+GO_TYPE_GROUP = _rules(
+    "go",
+    ("struct", r"^\s+(\w+)(?:\[[^\]]*\])?\s+struct\b"), ("interface", r"^\s+(\w+)(?:\[[^\]]*\])?\s+interface\b"),
+    ("type", r"^\s+(\w+)(?:\[[^\]]*\])?\s+=?\s*[\w*\[(<]"),
+)
+
 IMPORT_RULES: list[ImportRule] = [
     ImportRule("go", r'^import\s+(?:[\w.]+\s+)?"([^"]+)"'), ImportRule("go", r'^\s*(?:[\w.]+\s+)?"([^"]+)"', "import"),
     ImportRule("javascript", r"""^\s*(?:import\b|\}).*?\bfrom\s*['"`]([^'"`]+)['"`]"""),

@@ -138,14 +138,15 @@ def type_refs_in_range(c: Corpus, ranges: DataFrame) -> DataFrame:
     return wanted.join(types.dropDuplicates(identity), ["repo", "name"])
 
 
-def nesting(symbols: DataFrame, with_id: bool = False) -> DataFrame:
+def nesting(symbols: DataFrame, with_id: bool = False, exact: bool = False) -> DataFrame:
     """Parent and depth of every symbol from the ranges alone; ``with_id`` adds the parent's ``parent_id``.
+    ``exact`` compares ``start_pos`` and ``end_pos``, places within lines, instead of the lines.
 
     Depth is the number of symbols of the file that enclose it, the parent the nearest of them.
     A range encloses another when it covers it and is larger, or equal and earlier by position
     or id. Each inner symbol meets the outer ranges only at its start line's bin.
     """
-    ident = ["symbol_id", "start_line", "end_line", "start_col"]
+    ident = ["symbol_id", "start_line", "end_line", "start_col", *(["start_pos", "end_pos"] if exact else [])]
     inner = symbols.select("file_id", *ident).withColumn("bin", _bin("start_line"))
     outer = binned_ranges(
         symbols.select("file_id", "name", *ident)
@@ -158,9 +159,17 @@ def nesting(symbols: DataFrame, with_id: bool = False) -> DataFrame:
             | ((F.col("o_start_col") == F.col("start_col")) & (F.col("o_symbol_id") < F.col("symbol_id")))
         )
     )
+    span = F.col("o_end_line") - F.col("o_start_line")
+    if exact:
+        larger = (F.col("o_start_pos") < F.col("start_pos")) | (F.col("o_end_pos") > F.col("end_pos"))
+        encloses = (
+            (F.col("o_start_pos") <= F.col("start_pos")) & (F.col("o_end_pos") >= F.col("end_pos"))
+            & (larger | (F.col("o_symbol_id") < F.col("symbol_id")))
+        )
+        span = F.col("o_end_pos") - F.col("o_start_pos")
     nearest = F.min(
         F.struct(
-            (F.col("o_end_line") - F.col("o_start_line")).alias("span"),
+            span.alias("span"),
             (-F.col("o_start_line")).alias("later"), (-F.col("o_start_col")).alias("right"),
             (-F.col("o_symbol_id")).alias("o_id"), F.col("o_name").alias("name"),
         )

@@ -291,8 +291,8 @@ SOURCE_LANGUAGE = {"repo_en": "python", "repo_de": "go", "repo_fr": "javascript"
 SOURCE_FORMS = {
     "python": ("class {W}:\n    def m{W}(self):\n        {C}()", 'def {W}():\n    # no({}) {\n    {C}("x(")', "import mod_{L}\n\n"),
     "go": ("type {W} struct {\n\ta int // }\n}", 'func {W}() {\n\t{C}("}")\n}', 'import "mod/{L}"\n\n'),
-    "javascript": ("class {W} {\n  m{W}() { return {C}(); }\n}", "function {W}() {\n  {C}('}'); // no()\n}", "import 'mod_{L}';\n\n"),
-    "java": ("class {W} {\n  int m{W}(int a) { return {C}(a); }\n}", "interface {W} {\n  int m{W}(); /* { */\n}", "import mod.l{L};\n\n"),
+    "javascript": ("class {W} {\n  m{W}() { return {C}(); } n{W}(a) { }\n}", "function {W}() {\n  {C}('}'); // no()\n}", "import 'mod_{L}';\n\n"),
+    "java": ("class {W} {\n  int m{W}(int a) { return {C}(a); } void n{W}() { }\n}", "interface {W} {\n  int m{W}(); /* { */\n}", "import mod.l{L};\n\n"),
 }
 
 
@@ -340,12 +340,18 @@ FROM fx_lines l LEFT JOIN (SELECT file_id, line, arg_min(name, ord) AS called FR
 
 _SRC_SYMBOLS = """
 SELECT repo, file_id, language, w AS name, CASE WHEN language = 'go' AND is_class THEN 'struct' WHEN is_class THEN 'class'
-       WHEN language = 'java' THEN 'interface' ELSE 'function' END AS kind, s AS start_line, s + 2 AS end_line, '' AS parent, 0 AS depth
+       WHEN language = 'java' THEN 'interface' ELSE 'function' END AS kind, s AS start_line, s + 2 AS end_line, '' AS parent, 0 AS depth,
+       CASE WHEN language = 'go' AND is_class THEN 'type ' || w || ' struct ' WHEN is_class AND language = 'python' THEN 'class ' || w || ':'
+       WHEN is_class THEN 'class ' || w || ' ' WHEN language = 'java' THEN 'interface ' || w || ' ' ELSE '()' END AS signature
 FROM fx_parts WHERE w IS NOT NULL
 UNION ALL
 SELECT repo, file_id, language, 'm' || w, CASE language WHEN 'python' THEN 'function' ELSE 'method' END, s + 1,
-       CASE language WHEN 'python' THEN s + 2 ELSE s + 1 END, w, 1
-FROM fx_parts WHERE w IS NOT NULL AND ((is_class AND language <> 'go') OR (language = 'java'))"""
+       CASE language WHEN 'python' THEN s + 2 ELSE s + 1 END, w, 1,
+       CASE WHEN language = 'python' THEN '(self)' WHEN language = 'java' AND is_class THEN '(int a)' ELSE '()' END
+FROM fx_parts WHERE w IS NOT NULL AND ((is_class AND language <> 'go') OR (language = 'java'))
+UNION ALL
+SELECT repo, file_id, language, 'n' || w, 'method', s + 1, s + 1, w, 1, CASE language WHEN 'java' THEN '()' ELSE '(a)' END
+FROM fx_parts WHERE w IS NOT NULL AND is_class AND language IN ('javascript', 'java')"""
 
 _CONTENTS = """
 SELECT 'repo_' || lang AS repo, doc_id AS file_id, '/repo_' || lang || '/' || rel_path AS path, rel_path,

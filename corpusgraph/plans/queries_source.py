@@ -19,21 +19,21 @@ def masked_lines(spark: SparkSession, sf: str) -> DataFrame:
     return shared(spark, sf, "source_lines", lambda: extract.masked_lines(fx.sources(spark, sf)))
 
 
-_COLUMNS = ["repo", "file_id", "language", "name", "kind", "start_line", "end_line", "parent", "depth"]
+_COLUMNS = ["repo", "file_id", "language", "name", "kind", "start_line", "end_line", "parent", "depth", "signature"]
 
 
-@query("extract_symbols", "SELECT repo, file_id, language, name, kind, start_line, end_line, parent, depth FROM fx_src_symbols")
+@query("extract_symbols", "SELECT repo, file_id, language, name, kind, start_line, end_line, parent, depth, signature FROM fx_src_symbols")
 def extract_symbols(spark, sf):
     return extract.symbols_of(masked_lines(spark, sf)).select(_COLUMNS)
 
 
 @query(
     "block_ends",
-    "SELECT file_id, CAST(start_line AS INT) AS line, CAST(end_line AS INT) AS end_line FROM fx_src_symbols WHERE language <> 'python'",
+    "SELECT file_id, CAST(start_line AS INT) AS line, CAST(end_line AS INT) AS end_line FROM fx_src_symbols",
 )
 def block_ends(spark, sf):
-    lines = masked_lines(spark, sf).where("language <> 'python'")
-    return extract.block_ends(lines, extract.definition_lines(lines))
+    lines = masked_lines(spark, sf)
+    return extract.ends_of(lines, extract.written_definitions(lines)).select("file_id", "line", "end_line")
 
 
 @query(

@@ -304,9 +304,9 @@ SYMBOLS = {
              ("draw", "function", 8, 8, "Point"), ("Alias", "type", 10, 10, ""), ("MAX", "constant", 11, 11, ""),
              ("NAME", "variable", 12, 12, ""), ("inner", "module", 13, 13, ""), ("helper", "function", 14, 17, "")},
     "java": {("Store", "class", 4, 12, ""), ("size", "field", 5, 5, "Store"), ("Store", "constructor", 6, 6, "Store"),
-             ("names", "method", 8, 10, "Store"), ("Mode", "enum", 11, 11, "Store"), ("Shop", "interface", 13, 13, "")},
+             ("names", "method", 8, 10, "Store"), ("Mode", "enum", 11, 11, "Store"), ("Shop", "interface", 13, 13, ""), ("sell", "method", 13, 13, "Shop")},
     "kotlin": {("Item", "class", 3, 6, ""), ("label", "field", 4, 4, "Item"), ("show", "method", 5, 5, "Item"), ("Kind", "enum", 7, 7, ""),
-               ("Repo", "interface", 8, 8, ""), ("Registry", "object", 9, 11, ""), ("MAX", "constant", 10, 10, "Registry"),
+               ("Repo", "interface", 8, 8, ""), ("load", "method", 8, 8, "Repo"), ("Registry", "object", 9, 11, ""), ("MAX", "constant", 10, 10, "Registry"),
                ("main", "function", 12, 12, ""), ("Name", "type", 13, 13, ""), ("top", "variable", 14, 14, "")},
     "ruby": {("Shop", "module", 4, 14, ""), ("Cart", "class", 5, 13, "Shop"), ("add", "method", 6, 10, "Cart"), ("open", "method", 12, 12, "Cart")},
     "c": {("node", "struct", 4, 6, ""), ("color", "enum", 8, 8, ""), ("node_t", "type", 9, 9, ""), ("find", "function", 11, 14, ""),
@@ -396,3 +396,74 @@ def test_java_locals_are_no_fields(spark):
     assert {(s["name"], s["kind"], s["parent"]) for s in symbols} == {
         ("K", "class", ""), ("shared", "field", "K"), ("K", "constructor", "K"), ("run", "method", "K"),
     }
+
+
+def symbols(spark, language, content):
+    source = spark.createDataFrame([("r", 1, language, content)], "repo string, file_id bigint, language string, content string")
+    return [r.asDict() for r in extract.symbols_of(extract.masked_lines(source)).collect()]
+
+
+SEVERAL = {
+    "javascript": ("function a(){} function c(x){ return {k: 1}; }\nclass K { m(){} n(a, {b}){} static o(){ if (a) { p(); } } }\nlet s = 'function no(){}'; function t(){}",
+                   {("a", "function", 1, ""), ("c", "function", 1, ""), ("K", "class", 2, ""), ("m", "method", 2, "K"), ("n", "method", 2, "K"),
+                    ("o", "method", 2, "K"), ("t", "function", 3, "")}),
+    "java": ("class A { int x; A() { int y = 1; go(y); } void f() { } class B { void f() { } } } interface C { int g(int a); }",
+             {("A", "class", 1, ""), ("x", "field", 1, "A"), ("A", "constructor", 1, "A"), ("f", "method", 1, "A"), ("B", "class", 1, "A"),
+              ("f", "method", 1, "B"), ("C", "interface", 1, ""), ("g", "method", 1, "C")}),
+    "go": ("type (\n\tA struct {\n\t\tName string\n\t}\n\tB[T any] interface { M() }\n\tC = int\n\tD func(int)\n)\nfunc f() {}; func g() {}\n",
+           {("A", "struct", 2, ""), ("B", "interface", 5, ""), ("C", "type", 6, ""), ("D", "type", 7, ""), ("f", "function", 9, ""), ("g", "function", 9, "")}),
+    "rust": ("struct P { x: f64 } impl P { fn new() -> P { P { x: 1.0 } } fn y(&self) {} } mod m { pub fn z() {} }",
+             {("P", "struct", 1, ""), ("P", "impl", 1, ""), ("new", "function", 1, "P"), ("y", "function", 1, "P"), ("m", "module", 1, ""), ("z", "function", 1, "m")}),
+    "php": ("<?php class A { public function f() { } private function g() { } } function h() { }",
+            {("f", "method", 1, ""), ("g", "method", 1, ""), ("h", "function", 1, "")}),
+    "c": ("int f(int a) { return a; } int g(void) { for (int i = 0; i < 3; i++) { f(i); } return 0; } struct s { int v; };",
+          {("f", "function", 1, ""), ("g", "function", 1, ""), ("s", "struct", 1, "")}),
+    "kotlin": ("class A { fun f() { g() } ; fun h(x: Int) = x } object O { val z = 1 }",
+               {("A", "class", 1, ""), ("f", "method", 1, "A"), ("h", "method", 1, "A"), ("O", "object", 1, ""), ("z", "field", 1, "O")}),
+    "csharp": ("class A { int F(int a) { return a; } void G() { } }", {("A", "class", 1, ""), ("F", "method", 1, "A"), ("G", "method", 1, "A")}),
+    "protobuf": ("message A { string n = 1; enum K { X = 0; } message B { } } service S { rpc Get (A) returns (A); rpc Put (A) returns (A); }",
+                 {("A", "struct", 1, ""), ("K", "enum", 1, "A"), ("B", "struct", 1, "A"), ("S", "interface", 1, ""), ("Get", "method", 1, "S"), ("Put", "method", 1, "S")}),
+}
+
+
+@pytest.mark.parametrize("language", sorted(SEVERAL))
+def test_several_definitions_on_a_line(spark, language):
+    content, want = SEVERAL[language]
+    assert {(s["name"], s["kind"], s["start_line"], s["parent"]) for s in symbols(spark, language, content)} == want
+
+
+def test_a_minified_file_keeps_every_function(spark):
+    n = 5000
+    found = symbols(spark, "javascript", "".join(f"function f{k}(a,b){{g{k}(a);if(b){{return 1}}}}" for k in range(n)))
+    assert {s["name"] for s in found} == {f"f{k}" for k in range(n)} and all(s["parent"] == "" and s["signature"] == "(a,b)" for s in found)
+
+
+SIGNATURES = [
+    ("go", "func Map[T any](x T) T {\n}\n", "Map", "(x T)"),
+    ("go", "func (c *C) Add(\n\titem string, // the )\n\tf func(int) (int, error),\n) error {\n}\n", "Add", "(\n\titem string, // the )\n\tf func(int) (int, error),\n)"),
+    ("python", "def f(a,\n      b=(1, ')'), *c):\n    pass\n", "f", "(a,\n      b=(1, ')'), *c)"),
+    ("javascript", "(function () {\nfunction g(\n  a,\n  b\n) {\n}\n})();\n", "g", "(\n  a,\n  b\n)"),
+    ("java", "class A {\n  <T> void put(Map<K, V> m,\n      int n) {\n  }\n}\n", "put", "(Map<K, V> m,\n      int n)"),
+    ("typescript", "export function id<T extends A>(x: T): T { return x; }\n", "id", "(x: T)"),
+    ("rust", "fn pair<A, B>(a: A, b: (B, B)) -> A { a }\n", "pair", "(a: A, b: (B, B))"),
+]
+
+
+@pytest.mark.parametrize("language, content, name, want", SIGNATURES)
+def test_signatures_over_lines(spark, language, content, name, want):
+    assert [s["signature"] for s in symbols(spark, language, content) if s["name"] == name] == [want]
+
+
+def test_blocks_across_chunks_of_lines(spark, monkeypatch):
+    content = "class A {\n" + "".join(f"  m{k}() {{\n    go();\n  }}\n" for k in range(40)) + "}\nfunction last() {\n}\n"
+    whole = symbols(spark, "javascript", content)
+    monkeypatch.setattr(extract.R, "CHUNK_SHIFT", 1)
+    placed = lambda found: sorted((s["name"], s["start_line"], s["end_line"], s["parent"], s["depth"]) for s in found)
+    assert placed(symbols(spark, "javascript", content)) == placed(whole)
+    by = {s["name"]: (s["start_line"], s["end_line"]) for s in whole}
+    assert by["A"] == (1, 122) and by["m39"] == (119, 121) and by["last"] == (123, 124)
+
+
+def test_members_of_a_line_are_no_calls(spark):
+    source = spark.createDataFrame([("r", 1, "javascript", "class K { m(){ m(); k() } m(a){} }")], "repo string, file_id bigint, language string, content string")
+    assert sorted(r["name"] for r in extract.extract_refs(source).collect()) == ["k", "m"]
