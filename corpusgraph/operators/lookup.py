@@ -37,14 +37,14 @@ def _narrow(symbols: DataFrame, kind: str, lang: str) -> DataFrame:
     return symbols.where(F.col("language") == lang) if lang else symbols
 
 
-def symbols_exact(c: Corpus, targets: DataFrame, kind: str = "", lang: str = "", limit: int = LIMIT_SEARCH) -> DataFrame:
+def symbols_exact(c: Corpus, targets: DataFrame, kind: str = "", lang: str = "", limit: int | None = LIMIT_SEARCH) -> DataFrame:
     """Symbols named exactly like the target."""
     named = targets.select(*KEY).distinct().withColumn("name", F.col("target"))
     found = with_files(_narrow(c.symbols, kind, lang).join(named, ["repo", "name"]), c.files)
     return top_k(found, KEY, PLACE_ORDER, limit)
 
 
-def symbols_ci(c: Corpus, targets: DataFrame, limit: int = LIMIT_SEARCH) -> DataFrame:
+def symbols_ci(c: Corpus, targets: DataFrame, limit: int | None = LIMIT_SEARCH) -> DataFrame:
     """Symbols whose name equals the target in any casing."""
     folded = targets.select(*KEY, F.lower("target").alias("folded")).distinct()
     found = c.symbols.withColumn("folded", F.lower("name")).join(folded, ["repo", "folded"]).drop("folded")
@@ -68,14 +68,14 @@ def file_outline(c: Corpus, paths: DataFrame | None = None, signatures: bool = F
     )
 
 
-def child_symbols(c: Corpus, parents: DataFrame, limit: int = LIMIT_BUNDLE_MEMBERS) -> DataFrame:
+def child_symbols(c: Corpus, parents: DataFrame, limit: int | None = LIMIT_BUNDLE_MEMBERS) -> DataFrame:
     """Members by parent name over the whole repository; ``parents``: repo, target."""
     wanted = parents.select("repo", F.col("target").alias("parent")).distinct()
     found = with_files(c.symbols.where("parent <> ''").join(wanted, ["repo", "parent"]), c.files)
     return top_k(found, ["repo", "parent"], ["start_line", "rel_path", "symbol_id"], limit)
 
 
-def child_symbols_scoped(c: Corpus, parents: DataFrame, limit: int = LIMIT_BUNDLE_MEMBERS) -> DataFrame:
+def child_symbols_scoped(c: Corpus, parents: DataFrame, limit: int | None = LIMIT_BUNDLE_MEMBERS) -> DataFrame:
     """Members by parent name within one file; ``parents``: file_id, parent."""
     wanted = parents.select("file_id", "parent").distinct()
     found = c.symbols.where("parent <> ''").join(wanted, ["file_id", "parent"])
@@ -87,7 +87,7 @@ def file_imports(c: Corpus) -> DataFrame:
     return with_files(c.imports, c.files).select("repo", "rel_path", "raw_path")
 
 
-def find_references(c: Corpus, targets: DataFrame, limit: int = LIMIT_REFS) -> DataFrame:
+def find_references(c: Corpus, targets: DataFrame, limit: int | None = LIMIT_REFS) -> DataFrame:
     """Call sites by exact name; per target the first ``limit`` by rel_path and line."""
     named = targets.select(*KEY).distinct().withColumn("name", F.col("target"))
     found = with_files(c.refs.join(named, ["repo", "name"]), c.files)
@@ -144,7 +144,7 @@ def _lowest_tier(found: DataFrame, tier: str) -> DataFrame:
     return found.join(best, KEY).where(F.col(tier) == F.col("best")).drop("best")
 
 
-def search_flex(c: Corpus, targets: DataFrame, limit: int = LIMIT_RESOLVE_FUZZY) -> DataFrame:
+def search_flex(c: Corpus, targets: DataFrame, limit: int | None = LIMIT_RESOLVE_FUZZY) -> DataFrame:
     """Any-case name match; only targets without one fall back to the prefix search."""
     folded = targets.select(*KEY, F.lower("target").alias("folded")).distinct()
     known = c.symbols.select("repo", F.lower("name").alias("folded")).distinct()
@@ -173,7 +173,8 @@ def resolve_hints(candidates: DataFrame) -> DataFrame:
         )
         .otherwise(True)
     )
-    marked = candidates.withColumn("fits", fits)
+    # Written once: the counts and the rows that they decide on read the same candidates.
+    marked = materialise(candidates.withColumn("fits", fits), "candidates")
     stats = marked.groupBy(*KEY).agg(F.count("*").alias("total_found"), F.max("fits").alias("any_fit"))
     return marked.join(stats, KEY).where("fits OR total_found = 1 OR NOT any_fit").drop("fits", "any_fit")
 
@@ -215,14 +216,18 @@ def candidates_for(c: Corpus, targets: DataFrame) -> DataFrame:
     return by_name.unionByName(by_case).unionByName(by_prefix)
 
 
-def flex_resolve(c: Corpus, targets: DataFrame) -> DataFrame:
+def flex_resolve(
+    c: Corpus, targets: DataFrame, limit: int | None = LIMIT_RESOLVE_EXACT, fuzzy_limit: int | None = LIMIT_RESOLVE_FUZZY
+) -> DataFrame:
     """Ranked resolution of every target: rank 1 is the answer.
 
     Hints and ranking see all candidates; the list limits (100 exact, 20 fuzzy) cut only what is
-    reported behind them.
+    reported behind them. ``limit`` None: all that is left after the hints, unranked.
     """
-    ranked = rank_symbols(resolve_hints(candidates_for(c, targets)), LIMIT_RESOLVE_EXACT)
-    return ranked.where(~F.col("fuzzy") | (F.col("rank") <= LIMIT_RESOLVE_FUZZY))
+    ranked = rank_symbols(resolve_hints(candidates_for(c, targets)), limit)
+    if limit is None or fuzzy_limit is None:
+        return ranked
+    return ranked.where(~F.col("fuzzy") | (F.col("rank") <= fuzzy_limit))
 
 
 def auto_resolve(c: Corpus, targets: DataFrame) -> DataFrame:

@@ -14,15 +14,15 @@ from corpusgraph.runtime import materialised_once
 
 
 def impact_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return materialised_once(spark, sf, "impact_edges", lambda: edges.impact_edges(fx.corpus(spark, sf)))
+    return materialised_once(spark, sf, "impact_edges", lambda: graph.ranked(edges.impact_edges(fx.corpus(spark, sf)), "callee"))
 
 
 def trace_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return materialised_once(spark, sf, "trace_edges", lambda: edges.trace_edges(fx.corpus(spark, sf)))
+    return materialised_once(spark, sf, "trace_edges", lambda: graph.ranked(edges.trace_edges(fx.corpus(spark, sf)), "caller"))
 
 
 def import_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return materialised_once(spark, sf, "import_edges", lambda: imports.import_edges(fx.corpus(spark, sf)))
+    return materialised_once(spark, sf, "import_edges", lambda: graph.ranked(imports.import_edges(fx.corpus(spark, sf)), "stem"))
 
 
 def joined(array: Column, *fields: str) -> Column:
@@ -100,12 +100,12 @@ view(
     """SELECT e.repo, e.callee, e.caller, e.file_id, f.rel_path, min(e.line) AS line
        FROM ox_call_edges e JOIN fx_files f ON f.file_id = e.file_id GROUP BY ALL""",
 )
-view(
-    "ox_impact_levels",
-    """
+def _impact_levels(full: str = "HAVING count(*) >= 100") -> str:
+    """Breadth-first levels; targets of the groups that ``full`` keeps go no further."""
+    return f"""
     WITH l1 AS (SELECT t.repo, t.target, e.callee AS symbol, e.caller, e.file_id, e.rel_path, e.line, 1 AS depth
                 FROM fx_names t JOIN ox_impact_edges e ON e.repo = t.repo AND e.callee = t.target),
-    full1 AS (SELECT repo, target FROM l1 GROUP BY ALL HAVING count(*) >= 100),
+    full1 AS (SELECT repo, target FROM l1 GROUP BY ALL {full}),
     f2 AS (SELECT DISTINCT repo, target, caller AS name FROM l1 WHERE caller <> target
            AND NOT EXISTS (SELECT 1 FROM full1 f WHERE f.repo = l1.repo AND f.target = l1.target)),
     c2 AS (SELECT f2.repo, f2.target, e.callee AS symbol, e.caller, e.file_id, e.rel_path, e.line,
@@ -114,11 +114,18 @@ view(
     l2 AS (SELECT repo, target, symbol, caller, file_id, rel_path, line, 2 AS depth FROM c2 WHERE rn = 1
            AND NOT EXISTS (SELECT 1 FROM l1 WHERE l1.repo = c2.repo AND l1.target = c2.target AND l1.caller = c2.caller AND l1.file_id = c2.file_id))
     SELECT *, CAST(row_number() OVER (PARTITION BY repo, target ORDER BY depth, symbol, rel_path, line, caller) AS INT) AS rank
-    FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) u""",
-)
+    FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) u"""
+
+
+view("ox_impact_levels", _impact_levels())
 _IMPACT = ["repo", "target", "symbol", "caller", "rel_path", "line", "depth", "rank"]
 
 
+@query("impact_all", f"SELECT {', '.join(_IMPACT[:-1])} FROM ({_impact_levels('HAVING false')}) x")
+def impact_all(spark, sf):
+    return graph.find_impact(impact_edges(spark, sf), names(spark, sf), limit=None).select(_IMPACT[:-1])
+
+
 @query("impact", f"SELECT {', '.join(_IMPACT)} FROM ox_impact_levels WHERE rank <= 100")
 def impact(spark, sf):
     return graph.find_impact(impact_edges(spark, sf), names(spark, sf)).select(_IMPACT)
@@ -157,6 +164,13 @@ view(
 _TRACE = ["repo", "target", "caller", "callee", "rel_path", "line", "is_defined", "depth", "rank"]
 
 
+@query("callees_all", """SELECT t.repo, t.target, e.caller, e.callee, e.rel_path, e.line, e.is_defined, 1 AS depth
+    FROM fx_names t JOIN ox_trace_edges e ON e.repo = t.repo AND e.caller = t.target""")
+def callees_all(spark, sf):
+    """One level: over three, every name here reaches nearly every other, and the rows are their product."""
+    return graph.find_trace(trace_edges(spark, sf), names(spark, sf), depth=1, limit=None).select(_TRACE[:-1])
+
+
 @query("trace", f"SELECT {', '.join(_TRACE)} FROM ox_trace_levels WHERE rank <= 50")
 def trace(spark, sf):
     return graph.find_trace(trace_edges(spark, sf), names(spark, sf)).select(_TRACE)

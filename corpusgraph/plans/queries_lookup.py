@@ -414,6 +414,11 @@ def find_references(spark, sf):
     return lookup.find_references(fx.corpus(spark, sf), names(spark, sf)).select("repo", "target", "rel_path", "line", "ord", "rank")
 
 
+@query("find_references_all", f"SELECT repo, target, rel_path, line, ord FROM ({_REF_SITES}) x")
+def find_references_all(spark, sf):
+    return lookup.find_references(fx.corpus(spark, sf), names(spark, sf), None).select("repo", "target", "rel_path", "line", "ord")
+
+
 @query("refs_batch_topk", "SELECT repo, target, rel_path, line, ord, rank FROM ox_refs50 WHERE rank <= 5")
 def refs_batch_topk(spark, sf):
     return lookup.find_references(fx.corpus(spark, sf), names(spark, sf), 5).select("repo", "target", "rel_path", "line", "ord", "rank")
@@ -597,6 +602,13 @@ def flex_resolve(spark, sf):
     )
 
 
+@query("flex_resolve_all", "SELECT repo, target, symbol_id, kind, rel_path, start_line, total_found, fuzzy FROM ox_hinted")
+def flex_resolve_all(spark, sf):
+    return lookup.flex_resolve(fx.corpus(spark, sf), fx.targets(spark, sf), None, None).select(
+        "repo", "target", "symbol_id", "kind", "rel_path", "start_line", "total_found", "fuzzy"
+    )
+
+
 view(
     "ox_best",
     """SELECT repo, target, arg_min(symbol_id, rank) AS symbol_id, arg_min(file_id, rank) AS file_id, arg_min(name, rank) AS name,
