@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusgraph.corpus import Corpus
 from corpusgraph.operators import edges, graph, imports
-from corpusgraph.operators.ranking import top_k
+from corpusgraph.operators.ranking import top_k, with_rank
+from corpusgraph.runtime import materialise
 
 SYMBOLS = "repo string, symbol_id bigint, file_id bigint, name string, kind string, start_line int, end_line int, start_col int, end_col int, parent string, depth int, signature string, language string"
 
@@ -155,3 +156,27 @@ def test_top_k_keeps_a_hot_key_out_of_one_task(spark):
     hot = spark.range(1000).select((F.col("id") % 3 == 0).alias("k"), "id").repartition(3)
     plan = top_k(hot, ["k"], ["id"], 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_ranked_edges_give_the_same_rows_without_ordering_edges(spark, facts):
+    c = facts[0]
+    table = edges.impact_edges(c)
+    ranked = graph.ranked(table, "callee")
+    targets = spark.createDataFrame([("r", f"n{i}") for i in range(15)], "repo string, target string")
+    columns = ["target", "depth", "symbol", "caller", "rel_path", "line", "rank"]
+    rows = lambda df: sorted(tuple(r) for r in df.select(columns).collect())
+    for limit in (3, 50):
+        assert rows(graph.find_impact(ranked, targets, 2, limit)) == rows(graph.find_impact(table, targets, 2, limit))
+    stored = materialise(ranked, "ranked_edges")
+    plan = graph._first_edges(stored, "callee", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "edge_rank" in plan and "Window" not in plan and "Sort" not in plan
+    every = graph.find_impact(ranked, targets, 2, None).drop("rank")
+    assert rows(every.withColumn("rank", F.lit(0))) == rows(graph.find_impact(table, targets, 2, 1 << 20).withColumn("rank", F.lit(0)))
+
+
+def test_with_rank_keeps_every_row(spark):
+    rows = [("a", k % 500, k) for k in range(2000)] + [("b", 1, 1)]
+    df = spark.createDataFrame(rows, "k string, o int, id int")
+    got = [tuple(r) for r in with_rank(df, ["k"], ["o", "id"], 150, "r").collect()]
+    place = {r: n + 1 for n, r in enumerate(sorted((x for x in rows if x[0] == "a"), key=lambda x: (x[1], x[2])))} | {("b", 1, 1): 1}
+    assert sorted(got, key=str) == sorted([(*r, place[r] if place[r] <= 150 else None) for r in rows], key=str)
