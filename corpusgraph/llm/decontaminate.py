@@ -6,7 +6,8 @@ document word inside any occurrence of a window is hit, and a document is contam
 are at least ``share`` percent of its words.
 
 Defined results: a null text has no words and is clean; repeated rows are judged each by itself; without
-items nothing is hit; other columns pass through (one named ``contamination`` gives way to the result).
+items nothing is hit; bytes that are no UTF-8 are letters, and ``spans`` count each as one replaced character or a part
+of one, as Spark shows the text; other columns pass through (one named ``contamination`` gives way to the result).
 
 Benchmarks are test sets, small beside a corpus, but they do grow: the automaton is sent to the workers only
 while the items hold at most ``automaton_bytes`` of text (checked before anything is collected). Beyond that
@@ -17,6 +18,7 @@ stage without a shuffle.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -40,7 +42,6 @@ _NORMAL = bytes(
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
-HITS = "__hits"
 HIT_COLUMNS = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -132,12 +133,12 @@ def find_contamination(
     """The documents with a struct column ``contamination``: ``n_words``, ``n_hit``, ``items`` (found, sorted as
     strings), ``spans`` (hit ranges in code points of the original text) and ``contaminated``."""
     documents = documents.drop("contamination")
-    out = documents
+    out, hits_column = documents, f"hits_{uuid.uuid4().hex}"  # no name of the user's
     groups = item_groups(benchmark, item, item_text, automaton_bytes)
     for k, group in enumerate(groups):
         items = [(r["item"], r["text"]) for r in group.collect()]  # about automaton_bytes at most
-        out = _scan_group(out, text, items, window, first=k == 0, last=k == len(groups) - 1)
-    hits = F.col(HITS)
+        out = _scan_group(out, text, items, window, hits_column, first=k == 0, last=k == len(groups) - 1)
+    hits = F.col(hits_column)
     decided = hits.withField(
         "contaminated", (hits["n_hit"] > 0) & (hits["n_hit"] * 100 >= hits["n_words"] * share)
     )
@@ -145,7 +146,7 @@ def find_contamination(
 
 
 def _scan_group(
-    documents: DataFrame, text: str, items: list[tuple[str, str | None]], window: int, first: bool, last: bool
+    documents: DataFrame, text: str, items: list[tuple[str, str | None]], window: int, hits: str, first: bool, last: bool
 ) -> DataFrame:
     """One scan. Between scans ``spans`` are ranges of words; the last turns them into code points."""
     place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -166,11 +167,11 @@ def _scan_group(
                 found.append({
                     "n_words": n, "n_hit": 0 if hit is None else int(hit.sum()),
                     "items": sorted(owners.union(known["items"] if known else ())),
-                    "spans": in_code_points(raw.decode(), runs) if last else runs,
+                    "spans": in_code_points(raw.decode("utf-8", "replace"), runs) if last else runs,
                 })
             if not first:
                 columns, names = columns[:-1], names[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*names, HITS])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=[*names, hits])
 
     fields = documents.schema.fields if first else documents.schema.fields[:-1]
-    return documents.mapInArrow(run, T.StructType([*fields, T.StructField(HITS, HIT_COLUMNS)]))
+    return documents.mapInArrow(run, T.StructType([*fields, T.StructField(hits, HIT_COLUMNS)]))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import collocations, license_rules, licenses, queries, ranked_search
+from corpusgraph.llm import collocations, decontaminate, license_rules, licenses, queries, ranked_search
 from corpusgraph.llm.words import split_words
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -137,3 +137,12 @@ def test_queries(spark, name, columns):
         found = {r["doc_id"]: r.asDict() for r in got.collect()}
         for r, expected in zip(docs, want, strict=True):
             assert {c: found[r["doc_id"]][c] for c in expected if c != "spans"} == {c: v for c, v in expected.items() if c != "spans"}
+
+
+def test_decontamination_with_odd_bytes_and_inner_names(spark):
+    docs = spark.range(3).selectExpr("id", "CASE id WHEN 0 THEN cast(unhex('6120FF6220632064') AS string) WHEN 1 THEN 'x c d e' END AS text", "id AS __hits", "id AS contamination")
+    items = spark.createDataFrame([(1, "c d")], "item_id long, text string")
+    found = decontaminate.find_contamination(docs, items)
+    assert found.columns == ["id", "text", "__hits", "contamination"]
+    rows = {r["id"]: (r["__hits"], r["c"]["n_words"], r["c"]["n_hit"]) for r in found.selectExpr("id", "__hits", "contamination AS c").collect()}
+    assert rows == {0: (0, 4, 2), 1: (1, 4, 2), 2: (2, 0, 0)}
