@@ -373,11 +373,13 @@ def keep_one(documents: DataFrame, id: str = "doc_id", text: str = "text", **opt
     shingle = options.get("shingle", SHINGLE)
     _, classes = near_classes(documents, id, text, **options)
     best = F.min(F.struct(F.col("rep").isNull(), "rep", "cls")).alias("best")
-    stay = classes.groupBy("group").agg(best).select(F.col("best.cls").alias("__cls"), F.col("best.rep").alias("__rep"))
-    rows = sketch(documents, text, shingle, signatures=False)
+    stay = classes.groupBy("group").agg(best).select(F.col("best.cls").alias("cls"), F.col("best.rep").alias("rep"))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text])  # no name of the user's meets an inner one
+    boxed = documents.select(row.alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = sketch(boxed, "text", shingle, signatures=False)
     worded = rows.filter("__class is not null").join(
-        stay, (F.col("__class") == F.col("__cls")) & F.col(id).eqNullSafe(F.col("__rep"))
+        stay, (F.col("__class") == F.col("cls")) & F.col("id").eqNullSafe(F.col("rep"))
     ).dropDuplicates(["__class"])
     wordless = rows.filter("__class is null")
-    names = [F.col(f"`{c}`") for c in documents.columns]
+    names = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in documents.columns]
     return worded.select(*names).unionAll(wordless.select(*names))

@@ -15,14 +15,16 @@ virtual time. Blocks hold about ``block_rows`` rows at every size of input; what
 sources and the blocks of one source.
 
 Defined results: a null text has no words; documents without words are never taken; null is a source of its own,
-the last; repeated rows are documents of their own and tie at equal places, which changes no row's total;
-an empty table gives an empty mix; other columns pass through (one named ``mix`` gives way to the result).
+the last; the shuffle is seeded with all columns that can be hashed, so rows without an id or with a
+repeated one have places of their own and only equal rows tie; an empty table gives an empty mix; other columns pass
+through under any name (one named ``mix`` gives way to the result).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from corpusgraph.runtime import materialise
@@ -66,6 +68,11 @@ def source_targets(
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether values of the type can be hashed and ordered: no maps, variants or intervals, at any depth."""
+    return not any(w in kind.simpleString() for w in ("map<", "variant", "interval", "void"))
+
+
 def mix_sources(
     documents: DataFrame, size: str = "size", source: str = "source", order: tuple[str, ...] = ("doc_id",),
     weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: int = SEED,
@@ -73,12 +80,17 @@ def mix_sources(
 ) -> DataFrame:
     """The documents with a struct column ``mix``: ``source_size``, ``target`` (of the source), ``taken`` (words
     the mix takes of the document, repeats counted) and ``finish`` (virtual finish time of the first reading).
-    ``size`` names a column with the document's words, ``order`` the columns that the shuffle is seeded with."""
+    ``size`` names a column with the document's words, ``order`` the columns that the shuffle is seeded with first, before the others."""
     documents = documents.drop("mix")
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in order]), 2)
+    names = documents.columns
+    # The documents travel as one struct, so that no name of theirs meets an inner one. The shuffle is seeded with all
+    # columns that can be hashed: rows without an id spread, and only equal rows tie.
+    telling = [*order, *[f.name for f in documents.schema.fields if f.name not in order and _hashable(f.dataType)]]
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in telling]), 2)
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     # Never null, so that the join and the window below are dealt out alike and rows travel once.
-    named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    rows = documents.withColumns({"__source": named, "__size": F.col(size), "__key": key})
+    named = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit(""))
+    rows = documents.select(row, named.alias("__source"), F.col(f"`{size}`").alias("__size"), key.alias("__key"))
     n_rows = rows.count()
     n_blocks = max(1, -(-n_rows // block_rows))
     rows = rows.withColumn("__block", F.floor(F.col("__key") / F.lit(float(1 << 62)) * n_blocks))
@@ -95,14 +107,13 @@ def mix_sources(
         "__source", "__block", "__b_start", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
     )
 
-    within = W.partitionBy("__source", "__block").orderBy("__key", *order, "__size").rowsBetween(
+    within = W.partitionBy("__source", "__block").orderBy("__key", *[F.col("row").getField(c) for c in telling]).rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
     handed = F.col("__b_start") + F.sum("__size").over(within)
     rows = rows.join(starts, ["__source", "__block"]).withColumn("__handed", handed)
-    kept = [F.col(f"`{c}`") for c in documents.columns]
     queue = materialise(
-        rows.select(*kept, "__size", "__key", "__handed", "__source_size", "__target"), "mix-queue"
+        rows.select("row", "__size", "__key", "__handed", "__source_size", "__target"), "mix-queue"
     )
 
     last = cut(queue, float(targets.agg(F.sum("target")).first()[0] or 0.0), repeats, n_blocks)
@@ -114,7 +125,7 @@ def mix_sources(
         F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
         taken.cast("long").alias("taken"), _finish(0).alias("finish"),
     )
-    return queue.select(*kept, mix.alias("mix"))
+    return queue.select(*[F.col("row").getField(c).alias(c) for c in names], mix.alias("mix"))
 
 
 def _finish(reading: int) -> Column:

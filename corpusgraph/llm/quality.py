@@ -13,13 +13,14 @@ text. It fails with fewer than ``least_words`` words, with more than ``repeat_sh
 repeated windows, or if failing lines hold more than ``lost_share`` percent of its words.
 
 Defined results: a null or empty text has no words and fails; repeated rows are judged each by itself; a text
-of one huge line is one line; an empty table gives no rows; other columns pass through (one named
+of one huge line is one line; bytes that are no UTF-8 read as U+FFFD in ``clean_text``; an empty table gives no rows; other columns pass through (one named
 ``quality`` gives way to the result).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,6 +124,7 @@ def quality_rules(documents: DataFrame, text: str = "text") -> DataFrame:
     (the lines that stay)."""
 
     documents = documents.drop("quality")
+    result = f"quality_{uuid.uuid4().hex}"  # no name of the user's
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in by_document(batches, text):
@@ -131,7 +133,7 @@ def quality_rules(documents: DataFrame, text: str = "text") -> DataFrame:
             symbols = np.diff(symbols[offsets - offsets[0]])
             found = []
             for k, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                lines, lost, repeats = clean_lines(data[lo:hi].tobytes().decode())
+                lines, lost, repeats = clean_lines(data[lo:hi].tobytes().decode("utf-8", "replace"))
                 n = int(counts[k])
                 failed = n < LEAST_WORDS or 100 * int(repeated[k]) > REPEAT_SHARE * n
                 found.append({
@@ -139,7 +141,7 @@ def quality_rules(documents: DataFrame, text: str = "text") -> DataFrame:
                     "n_repeat_words": int(repeated[k]), "lost_words": lost, "base_failed": failed,
                     "kept": not failed and 100 * lost <= LOST_SHARE * n, "clean_text": "\n".join(lines),
                 })
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, _ARROW)], names=[*rows.schema.names, "__q"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, _ARROW)], names=[*rows.schema.names, result])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("__q", VERDICT)])
-    return documents.mapInArrow(run, schema).withColumnRenamed("__q", "quality")
+    schema = T.StructType([*documents.schema.fields, T.StructField(result, VERDICT)])
+    return documents.mapInArrow(run, schema).withColumnRenamed(result, "quality")

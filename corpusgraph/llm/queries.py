@@ -51,7 +51,8 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_secret_scan")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    scanned = materialise(secret_scan.scan_texts(docs).drop("text"), "secret-candidates")
+    scanned = secret_scan.scan_texts(docs).withColumn("row", F.col("row").dropFields("text"))
+    scanned = materialise(scanned, "secret-candidates")
     found = secret_scan.judge(scanned)
     base = F.col("secrets.base")
     counts = [

@@ -17,8 +17,8 @@ randomness at ``LEAST_P`` and the decoys' share at its distance puts the false-d
 at ``FALSE_RATE`` or lower. Both counts are a histogram of at most ``LENGTHS * DISTANCES`` rows over the corpus.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each by itself; an empty table gives no
-rows; a token of any length is one candidate; other columns pass through (one named
-``secrets`` gives way to the result).
+rows; a token of any length is one candidate; other columns pass through under any name (one named ``secrets``
+gives way to the result). Spans of a text take time by their number to the power of 1.5 at most.
 """
 
 from __future__ import annotations
@@ -60,6 +60,35 @@ _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _SPAN = "struct<start:bigint,end:bigint,token:string,size:int>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(n: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """An array for each of about sqrt(n) blocks of ``n`` places: ``body`` of the first place and the places of a block."""
+    return _let(F.ceil(F.sqrt(n)).cast("int"), lambda size: F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda k: body(k * size, size)))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of bigints, 0 and all values before it joined (a sum, a maximum). ``aggregate`` copies
+    the array that it grows in every step, so blocks of about sqrt(n) values are joined, then the values of each."""
+    zero = F.lit(0).cast("bigint")
+
+    def before(part: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, first, lambda acc, v: F.struct(
+            join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def in_blocks(all_values: Column) -> Column:
+        parts = _blocks(F.size(all_values), lambda lo, size: F.slice(all_values, lo + 1, size))
+        return _let(parts, lambda p: F.flatten(F.zip_with(
+            p, before(F.transform(p, lambda part: F.aggregate(part, zero, lambda a, v: join(a, v))), zero), before)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, in_blocks(v)).otherwise(F.array().cast("array<bigint>")))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches as (start, end, token, size) in code points; ``size`` is the length of ``group``. What stands
     between matches gives the positions."""
@@ -67,21 +96,14 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("bigint"))
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("token"), sizes.alias("size"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-
-    def step(acc: Column, row: Column) -> Column:
-        first = acc["at"] + row["gap"]
-        last = first + F.length(row["token"])
-        span = F.struct(first.alias("start"), last.alias("end"), row["token"].alias("token"), row["size"].alias("size"))
-        return F.struct(last.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    def placed(found: Column) -> Column:
+        ends = running(F.transform(found, lambda m: m["gap"] + F.length(m["token"])), lambda a, b: a + b)
+        return F.zip_with(found, ends, lambda m, at: F.struct(
+            (at + m["gap"]).alias("start"), (at + m["gap"] + F.length(m["token"])).alias("end"),
+            m["token"].alias("token"), m["size"].alias("size")))
 
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.when(text.rlike(pattern), _let(rows, placed)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _chi_squared(numbers: Column, n: Column, k: Column) -> Column:
@@ -162,8 +184,9 @@ def _as_kind(spans: Column, kind: int) -> Column:
 
 
 def scan_texts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with ``__found``: base spans as (start, kind, end), and the candidates and decoys of the tests."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    """The documents as the struct ``row`` (no name of theirs meets an inner one), with ``found``: base spans as
+    (start, kind, end), and the candidates and decoys of the tests."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = []
     for number, (_, pattern, group, least) in enumerate(PATTERNS):
         base.append(_as_kind(F.filter(matches(body, pattern, group), _at_least(least)), number))
@@ -174,12 +197,13 @@ def scan_texts(documents: DataFrame, text: str = "text") -> DataFrame:
         _length_class(m["token"]).alias("length"), distance(m["token"]).alias("distance"),
     ))
     tested = F.filter(tokens, lambda t: t["mixed"] | t["decoy"])
-    return documents.withColumn("__found", F.struct(F.concat(*base).alias("base"), tested.alias("tokens")))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    return documents.select(row.alias("row"), F.struct(F.concat(*base).alias("base"), tested.alias("tokens")).alias("found"))
 
 
 def discoveries(scanned: DataFrame) -> DataFrame:
     """(length, level): in each class of lengths, the distance up to which candidates are secrets."""
-    token = F.explode("__found.tokens").alias("t")
+    token = F.explode("found.tokens").alias("t")
     near = F.least(F.floor(F.col("t.distance") * 4), F.lit(DISTANCES)).cast("int")
     counts = scanned.select(token).groupBy(F.col("t.length").alias("length"), near.alias("near")).agg(
         F.count_if("t.mixed").alias("mixed"), F.count_if("t.decoy").alias("decoys")
@@ -195,21 +219,37 @@ def discoveries(scanned: DataFrame) -> DataFrame:
     )
 
 
+def outside(tokens: Column, base: Column) -> Column:
+    """The spans of ``tokens`` that no span of ``base`` holds: the base spans that start no later end before them."""
+    spans = F.array_sort(F.concat(base, tokens))  # by start, then kind: base spans stand before tokens of their start
+
+    def judged(s: Column) -> Column:
+        ends = F.transform(s, lambda x: F.when(x["kind"] < len(PATTERNS), x["end"]).otherwise(F.lit(0).cast("bigint")))
+        held = F.zip_with(s, running(ends, F.greatest), lambda x, end: F.struct(x.alias("span"), (end >= x["end"]).alias("held")))
+        return F.transform(F.filter(held, lambda h: (h["span"]["kind"] == len(PATTERNS)) & ~h["held"]), lambda h: h["span"])
+
+    return F.when(F.size(tokens) > 0, _let(spans, judged)).otherwise(tokens)
+
+
 def judge(scanned: DataFrame) -> DataFrame:
-    """What ``scan_texts`` gave, as ``secrets``: all spans (start, kind, end) in order, and the base spans alone."""
+    """What ``scan_texts`` gave, as the documents with ``secrets``: all spans (start, kind, end) in order, and the
+    base spans alone."""
     levels = discoveries(scanned).agg(F.map_from_entries(F.collect_list(F.struct("length", "level")))).first()[0]
-    base = F.array_sort(F.col("__found.base"))
+    base = F.array_sort(F.col("found.base"))
 
     def is_secret(t: Column) -> Column:
         limit = F.lit(-1.0)  # at most LENGTHS levels
         for length, value in sorted(levels.items()):
             limit = F.when(t["length"] == int(length), F.lit(float(value))).otherwise(limit)
-        known = F.exists(F.col("__found.base"), lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))
-        return t["mixed"] & (t["distance"] <= limit) & (random_p(t["distance"]) >= LEAST_P) & ~known
+        return t["mixed"] & (t["distance"] <= limit) & (random_p(t["distance"]) >= LEAST_P)
 
-    added = _as_kind(F.filter(F.col("__found.tokens"), is_secret), len(PATTERNS))
-    spans = F.array_sort(F.concat(F.col("__found.base"), added))
-    return scanned.withColumn("secrets", F.struct(base.alias("base"), spans.alias("spans"))).drop("__found")
+    likely = _as_kind(F.filter(F.col("found.tokens"), is_secret), len(PATTERNS))
+    added = _let(likely, lambda t: outside(t, F.col("found.base")))
+    spans = F.array_sort(F.concat(F.col("found.base"), added))
+    secrets = F.struct(base.alias("base"), spans.alias("spans")).alias("secrets")
+    names = [f.name for f in scanned.schema["row"].dataType.fields]
+    # In two steps, lest a name of theirs be taken for an inner one.
+    return scanned.select("row", secrets).select(*[F.col("row").getField(c).alias(c) for c in names if c != "secrets"], "secrets")
 
 
 def find_secrets(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -231,16 +271,26 @@ def written(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span, overlapping ones as one, replaced by ``mark``."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(inside, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(piece, F.lit(mark)))).alias("parts"),
-        )
-
-    rest = F.aggregate(spans, start, step, lambda acc: F.concat(
-        F.array_join(acc["parts"], ""), F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    bounds = "array<struct<start:bigint,end:bigint>>"
+
+    def cuts(s: Column) -> Column:
+        """What stays, as (start, end): from the greatest end so far to each span beyond it, and the rest."""
+        upto = F.zip_with(running(F.transform(s, lambda x: x["end"]), F.greatest), s, lambda at, x: F.struct(
+            at.alias("start"), x["start"].alias("end")))
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        rest = F.array(F.struct(last.alias("start"), F.length(text).cast("bigint").alias("end")))
+        return F.concat(F.filter(upto, lambda c: c["start"] <= c["end"]).cast(bounds), rest.cast(bounds))
+
+    def piece(whole: Column, start: Column, end: Column) -> Column:
+        return F.substring(whole, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def pieces(part: Column) -> Column:
+        """A substring is found from the front of its string, so a block is cut out of the text first."""
+        first, last = F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"]
+        return _let(piece(text, first, last), lambda block: _let(first, lambda start: F.transform(
+            part, lambda c: piece(block, c["start"] - start, c["end"] - start))))
+
+    def kept(c: Column) -> Column:
+        return F.flatten(_blocks(F.size(c), lambda lo, size: _let(F.slice(c, lo + 1, size), pieces)))
+
+    return F.when(F.size(spans) > 0, F.array_join(_let(_let(spans, cuts), kept), mark)).otherwise(text)

@@ -168,7 +168,7 @@ def _kept(words, gone: np.ndarray) -> list[dict]:
         stay = np.flatnonzero(~lost) + at
         out.append({
             "n_words": n, "n_removed": int(lost.sum()),
-            "kept": b" ".join([words.data[s:e].tobytes() for s, e in zip(words.start[stay], words.end[stay], strict=True)]).decode(),
+            "kept": b" ".join([words.data[s:e].tobytes() for s, e in zip(words.start[stay], words.end[stay], strict=True)]).decode("utf-8", "replace"),
             "removed": [{"start": int(a), "end": int(b)} for a, b in edges],
         })
         at += n

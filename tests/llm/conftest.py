@@ -1,9 +1,12 @@
 import random
 
 import pytest
-from pyspark.sql import types as T
 
 FIELDS = "doc_id long, text string, source string, label int, quality string, found long, target double, c0 string, row int"
+#: Names that operators use, or might use, inside.
+INNER = ("__q", "__class", "__cls", "__rep", "__n", "__sig", "__size", "__key", "__source", "__block", "__handed", "__target", "__found",
+         "__hits", "__text", "id", "cls", "rep", "found", "place", "span", "words")
+FIELDS += "".join(f", `{n}` string" for n in INNER if n != "found")
 
 
 @pytest.fixture(scope="session")
@@ -26,7 +29,7 @@ def tricky():
         (21, "a b c\x0b\x0cd\x1fe", "b"), (22, "A" * 17 + "KIA", "c"),
         (23, "key xK9fQ2mZ7pL4vT8bN3wR6yHc5D1gJ0sA end", "c"), (24, plain(9), "e"), (25, plain(10), "e"),
     ]
-    return [(i, t, s, None if k % 3 else k, f"q{k}", k, 0.5 * k, None, k) for k, (i, t, s) in enumerate(rows)]
+    return [(i, t, s, None if k % 3 else k, f"q{k}", k, 0.5 * k, None, k, *[f"{n}{k}" for n in INNER if n != "found"]) for k, (i, t, s) in enumerate(rows)]
 
 
 @pytest.fixture(scope="session")
@@ -37,8 +40,3 @@ def documents(spark, tricky):
 @pytest.fixture(scope="session")
 def no_documents(spark):
     return spark.createDataFrame([], FIELDS)
-
-
-@pytest.fixture(scope="session")
-def schema_of():
-    return lambda df: {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.DataType)}

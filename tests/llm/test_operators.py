@@ -1,6 +1,7 @@
 """Every operator on tricky rows against the plain versions, on an empty table, and with clashing column names."""
 
 import math
+import time
 import zlib
 
 import brute
@@ -83,6 +84,61 @@ def test_secrets(tricky, documents, no_documents):
     assert secret_scan.find_secrets(no_documents).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 50, 1000])
+def test_running(spark, n):
+    values = [(k * 37) % 11 for k in range(n)]
+    v = F.lit(values).cast("array<bigint>") if n else F.array().cast("array<bigint>")
+    total, most = spark.range(1).select(
+        secret_scan.running(v, lambda a, b: a + b), secret_scan.running(v, lambda a, b: F.greatest(a, b))).first()
+    assert total == [sum(values[:k]) for k in range(n)] and most == [max(values[:k], default=0) for k in range(n)]
+
+
+def test_masking_overlaps(spark):
+    text = "é" + "0123456789🙂" * 30
+    for spans in ([], [(0, 0, 331)], [(1, 0, 3), (2, 1, 9), (4, 2, 5), (9, 0, 9 + 1), (330, 0, 331)], [(k, 0, k + 2) for k in range(1, 300, 3)]):
+        want, at = "", 0
+        for start, _, end in spans:
+            if start >= at:
+                want += text[at:start] + "[secret]"
+            at = max(at, end)
+        want += text[at:]
+        df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:bigint,kind:int,end:bigint>>")
+        assert df.select(secret_scan.redact(F.col("t"), F.col("s"))).first()[0] == want
+
+
+def test_secrets_in_long_texts(spark):
+    """40,000 runs in one text: no step is quadratic in the spans."""
+    runs = [f"{k * 7919:016x}" for k in range(40_000)]
+    keyed = " ".join(f"token={r} Zq{r}" for r in runs[:10_000])
+    began = time.monotonic()
+    df = spark.createDataFrame([(1, " ".join(runs)), (2, keyed)], "doc_id long, text string")
+    found = secret_scan.find_secrets(df).select(
+        "doc_id", F.size("secrets.base").alias("n"), secret_scan.redact(F.col("text"), F.col("secrets.spans")).alias("masked"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert time.monotonic() - began < 60
+    assert got[1]["n"] == 40_000 and got[1]["masked"] == " ".join(["[secret]"] * 40_000)
+    assert got[2]["n"] == 30_000 and got[2]["masked"].count("[secret]") >= 20_000
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """They read as U+FFFD where an operator writes texts, and end no job."""
+    docs = spark.range(3).selectExpr(
+        "id AS doc_id", "'s' AS source", "CASE id WHEN 0 THEN cast(unhex('6120FF6220632064') AS string) WHEN 1 THEN 'x c d e' END AS text")
+    judged = {r["doc_id"]: r["quality"] for r in quality.quality_rules(docs).collect()}
+    assert judged[0]["n_words"] == 4 and judged[0]["clean_text"] == "a \ufffdb c d" and judged[2]["clean_text"] == ""
+    cut = {r["doc_id"]: r["dedup"] for r in substrings.remove_repeats(docs, window=2).select("doc_id", "dedup").collect()}
+    assert cut[0]["n_removed"] == 2 and cut[0]["kept"] == "a \ufffdb" and cut[1]["kept"] == "x e"
+    assert jaccard.keep_one(docs).count() == 3 and secret_scan.find_secrets(docs).count() == 3
+    assert mixing.mix_sources(docs.withColumn("size", mixing.word_count("text"))).count() == 3
+
+
+def test_mixing_spreads_rows_without_id(spark):
+    docs = spark.range(4000).selectExpr("cast(null AS long) AS doc_id", "'s' AS source", "id % 7 + 1 AS size", "cast(id AS string) AS text")
+    whole = mixing.mix_sources(docs, block_rows=100).select("text", "mix.taken").collect()
+    again = mixing.mix_sources(docs.repartition(7), block_rows=100).select("text", "mix.taken").collect()
+    assert sorted(whole) == sorted(again) and len(whole) == 4000
+
+
 def test_randomness_scores(spark):
     rows = [("0f3a9c1e7b5d8264" * 2,), ("thethethethethethethethethethethe1",), ("a1" * 16,), ("9fK2xQ7mZpL4vT8bN3wR6yHc5D1gJ0sA",)]
     df = spark.createDataFrame(rows, "t string").withColumn("d", secret_scan.distance(F.col("t")))
