@@ -128,6 +128,25 @@ def parse_targets(targets: DataFrame) -> DataFrame:
     })
 
 
+def show_lines(c: Corpus, targets: DataFrame, context: int = 0) -> DataFrame:
+    """Lines that path targets name: (repo, target, rel_path, line, text).
+
+    ``path:L10-L20`` and ``path:10`` show their lines, widened by ``context`` at both ends (not below line 1); a path
+    alone shows the whole file. A path is one of ``path`` or ``rel_path``, as it stands. Targets of other forms,
+    unknown files and ranges that end before they start give no rows.
+    """
+    wanted = parse_targets(targets).where("is_path").select(*KEY, "file", "start_line", "end_line").distinct()
+    files = c.files.select("repo", "file_id", "rel_path", "n_lines", F.explode(F.array_distinct(F.array("path", "rel_path"))).alias("file"))
+    whole = F.col("start_line") == 0
+    first = F.when(whole, 1).otherwise(F.greatest(F.lit(1), F.col("start_line") - context))
+    # No further than the file goes, so that a range costs the lines that it holds.
+    last = F.when(whole, F.col("n_lines")).otherwise(F.least(F.col("end_line").cast("bigint") + context, F.col("n_lines")))
+    place = F.struct(*KEY, "rel_path").alias("range_id")
+    ranges = wanted.join(files, ["repo", "file"]).select(
+        place, "file_id", first.cast("int").alias("first"), last.cast("int").alias("last")).where("first <= last")
+    return source_slice(c, ranges).select("range_id.*", "line", "text")
+
+
 def _attempts(targets: DataFrame) -> DataFrame:
     """Readings of a target: the whole name first, then ``Parent.name``."""
     parsed = with_parsed_target(targets.select(*KEY).distinct()).select(*KEY, "file", "symbol").where("symbol <> ''")

@@ -633,6 +633,48 @@ def investigate(spark, sf):
     )
 
 
+@query(
+    "investigate_strict",
+    """
+    , wanted AS (SELECT repo, target, '' AS file_hint FROM fx_targets UNION SELECT repo, name, min(rel_path) FROM ox_symfile GROUP BY ALL
+        UNION SELECT DISTINCT repo, name, 'no such path' FROM fx_symbols),
+    hits AS (SELECT w.*, s.symbol_id, s.file_id, s.kind, s.rel_path, s.start_line, contains(s.rel_path, w.file_hint) AS fits
+        FROM wanted w JOIN ox_symfile s ON s.repo = w.repo AND s.name = w.target),
+    stats AS (SELECT repo, target, file_hint, count(*) AS n, count_if(fits) AS n_fit FROM hits GROUP BY ALL),
+    rest AS (SELECT h.*, CASE WHEN n_fit > 0 THEN n_fit ELSE n END AS matches,
+        row_number() OVER (PARTITION BY repo, target, file_hint ORDER BY rel_path, start_line, symbol_id) AS rn
+        FROM hits h JOIN stats USING (repo, target, file_hint) WHERE fits OR n_fit = 0),
+    told AS (SELECT repo, target, file_hint, any_value(matches) AS matches, arg_min(symbol_id, rn) AS symbol_id, arg_min(file_id, rn) AS file_id,
+        arg_min(kind, rn) AS kind, string_agg(rel_path || ':' || start_line, ',' ORDER BY rn) FILTER (rn <= 100) AS places FROM rest GROUP BY ALL)
+    SELECT w.repo, w.target, w.file_hint, coalesce(t.matches, 0) AS matches,
+      CASE WHEN t.matches IS NULL THEN 'not found' WHEN t.matches = 1 THEN 'found' ELSE 'ambiguous' END AS status,
+      CASE WHEN t.matches > 1 THEN t.places ELSE '' END AS also, s.symbol_id, s.source, coalesce(r.refs, '') AS refs,
+      CASE WHEN t.kind = 'function' THEN coalesce(i.impact, '') ELSE '' END AS impact,
+      CASE WHEN t.kind = 'class' THEN coalesce(m.members, '') ELSE '' END AS members
+    FROM wanted w LEFT JOIN told t ON t.repo = w.repo AND t.target = w.target AND t.file_hint = w.file_hint
+    LEFT JOIN ox_source s ON t.matches = 1 AND s.symbol_id = t.symbol_id
+    LEFT JOIN ox_refs20 r ON t.matches = 1 AND r.repo = t.repo AND r.target = t.target
+    LEFT JOIN ox_impact20 i ON t.matches = 1 AND i.repo = t.repo AND i.target = t.target
+    LEFT JOIN ox_members m ON t.matches = 1 AND m.file_id = t.file_id AND m.parent = t.target""",
+)
+def investigate_strict(spark, sf):
+    """All targets as they are, and every name with a path that holds it and with one that none has."""
+    c = fx.corpus(spark, sf)
+    held = c.symbols.join(c.files.select("file_id", "rel_path"), "file_id").groupBy("repo", F.col("name").alias("target")).agg(
+        F.min("rel_path").alias("file_hint"))
+    targets = (
+        fx.targets(spark, sf).select("repo", "target", F.lit("").alias("file_hint")).unionByName(held)
+        .unionByName(held.withColumn("file_hint", F.lit("no such path")))
+    )
+    found = bundle.investigate_strict(c, impact_edges(spark, sf), targets)
+    return found.select(
+        "repo", "target", "file_hint", "matches", "status", F.coalesce(F.array_join("also", ","), F.lit("")).alias("also"), "symbol_id",
+        "source", joined(F.col("refs"), "rel_path", "line", "ord").alias("refs"),
+        joined(F.col("impact"), "depth", "symbol", "rel_path", "line", "caller").alias("impact"),
+        joined(F.col("members"), "name", "kind").alias("members"),
+    )
+
+
 @query(
     "symbol_context",
     """
@@ -657,20 +699,29 @@ def symbol_context(spark, sf):
     )
 
 
-@query(
-    "ground_truth_check",
-    """
+_BEST_NAMED = """
     , best AS (SELECT repo, name, symbol_id, row_number() OVER (PARTITION BY repo, name ORDER BY
         length(rel_path) - length(replace(rel_path, '/', '')), CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'variable' THEN 4 ELSE 0 END,
-        length(rel_path), rel_path, start_line, symbol_id) AS rn FROM ox_symfile)
-    SELECT s.repo, s.name, 'search' AS "check", bool_or(contains(rel_path, 'main_d')) AND bool_or(kind = 'class') AS passed
+        length(rel_path), rel_path, start_line, symbol_id) AS rn FROM ox_symfile)"""
+_CHECKS = """    SELECT s.repo, s.name, 'search' AS "check", bool_or(contains(rel_path, 'main_d')) AND bool_or(kind = 'class') AS passed
     FROM (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY rel_path, start_line, symbol_id) AS rn FROM ox_symfile) s WHERE rn <= 100 GROUP BY s.repo, s.name
     UNION ALL SELECT b.repo, b.name, 'show', contains(s.source, b.name) FROM best b JOIN ox_source s ON s.symbol_id = b.symbol_id WHERE b.rn = 1
-    UNION ALL SELECT t.repo, t.target, 'refs', EXISTS (SELECT 1 FROM fx_refs r WHERE r.repo = t.repo AND r.name = t.target) FROM fx_names t""",
-)
+    UNION ALL SELECT t.repo, t.target, 'refs', EXISTS (SELECT 1 FROM fx_refs r WHERE r.repo = t.repo AND r.name = t.target) FROM fx_names t"""
+
+
+@query("ground_truth_check", f"{_BEST_NAMED}\n{_CHECKS}")
 def ground_truth_check(spark, sf):
     expected = names(spark, sf).select(
         "repo", F.col("target").alias("name"), F.lit("main_d").alias("file_contains"), F.lit("class").alias("kind"),
         F.col("target").alias("show_contains"), F.lit(1).alias("refs_min"),
     )
     return quality.ground_truth_check(fx.corpus(spark, sf), expected)
+
+
+@query(
+    "ground_truth_totals",
+    f"""{_BEST_NAMED}, checks AS ({_CHECKS})
+    SELECT "check", count(*) AS total, count_if(passed) AS passed FROM checks GROUP BY ALL""",
+)
+def ground_truth_totals(spark, sf):
+    return quality.check_totals(ground_truth_check(spark, sf))

@@ -404,6 +404,30 @@ def parse_targets(spark, sf):
     return lookup.parse_targets(fx.targets(spark, sf).unionByName(lined))
 
 
+@query(
+    "show_lines",
+    """
+    , asked AS (SELECT repo, file_id, rel_path, n_lines, unnest([
+        {'target': path || ':L2-L' || n_lines, 'lo': 2, 'hi': n_lines}, {'target': rel_path || ':' || n_lines, 'lo': n_lines, 'hi': n_lines},
+        {'target': rel_path, 'lo': 0, 'hi': 0}, {'target': rel_path || ':3-L900000000', 'lo': 3, 'hi': 900000000},
+        {'target': path || ':9-4', 'lo': 9, 'hi': 4}]) AS a FROM fx_files)
+    SELECT x.repo, a.target AS target, x.rel_path, l.line, l.text FROM asked x JOIN fx_lines l ON l.file_id = x.file_id
+      AND (a.lo = 0 OR l.line BETWEEN greatest(1, a.lo - 1) AND a.hi + 1)
+    WHERE contains(a.target, '/')""",
+)
+def show_lines(spark, sf):
+    """Ranges of every file under both of its names, whole files, ranges beyond the end and reversed ones. A name
+    without a slash reads as a symbol, so it shows nothing."""
+    c = fx.corpus(spark, sf)
+    n = F.col("n_lines").cast("string")
+    forms = F.array(
+        F.concat("path", F.lit(":L2-L"), n), F.concat("rel_path", F.lit(":"), n), F.col("rel_path"),
+        F.concat("rel_path", F.lit(":3-L900000000")), F.concat("path", F.lit(":9-4")), F.concat(F.lit("no/such/"), "rel_path"),
+    )
+    asked = c.files.select("repo", F.explode(forms).alias("target"))
+    return lookup.show_lines(c, asked.unionByName(fx.targets(spark, sf)), context=1)
+
+
 _REF_SITES = """SELECT r.*, f.rel_path, t.target FROM fx_refs r JOIN fx_names t ON t.repo = r.repo AND t.target = r.name
     JOIN fx_files f ON f.file_id = r.file_id"""
 view("ox_refs50", _ranked("repo, target, file_id, rel_path, line, ord", _REF_SITES, "repo, target", "rel_path, line, ord", 50))
