@@ -59,7 +59,7 @@ def test_toxicity_query_on_held_out_rows(spark):
 
 
 def test_registered():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11)) and ORACLE_STATEMENTS.keys() <= QUERIES.keys()
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14)) and ORACLE_STATEMENTS.keys() <= QUERIES.keys()
 
 
 def test_pipeline(spark, rows):
