@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.corpus import Corpus
-from corpusgraph.operators import edges, graph, imports
+from corpusgraph.operators import bundle, edges, graph, imports, lookup
 from corpusgraph.operators.ranking import top_k, with_rank
 from corpusgraph.runtime import materialise
 
@@ -180,3 +180,37 @@ def test_with_rank_keeps_every_row(spark):
     got = [tuple(r) for r in with_rank(df, ["k"], ["o", "id"], 150, "r").collect()]
     place = {r: n + 1 for n, r in enumerate(sorted((x for x in rows if x[0] == "a"), key=lambda x: (x[1], x[2])))} | {("b", 1, 1): 1}
     assert sorted(got, key=str) == sorted([(*r, place[r] if place[r] <= 150 else None) for r in rows], key=str)
+
+
+def test_show_lines_and_strict_bundles(spark):
+    """Ranges against a plain reading; names with one, several and no symbols, with hints that fit and that do not."""
+    files = [("r", 1, "/p/d/a.go", "d/a.go", "go", "", 0, 0, 70), ("r", 2, "/p/d/b.go", "d/b.go", "go", "", 0, 0, 4)]
+    symbols = [
+        ("r", 1, 1, "Big", "class", 2, 68, 0, 0, "", 0, "", "go"), ("r", 2, 1, "Run", "method", 3, 4, 0, 0, "Big", 1, "", "go"),
+        ("r", 3, 2, "Run", "function", 1, 2, 0, 0, "", 0, "", "go"), ("r", 4, 2, "one", "function", 3, 4, 0, 0, "", 0, "", "go"),
+    ]
+    lines = [("r", f[1], n, f"{f[3]} {n}") for f in files for n in range(1, f[8] + 1)]
+    c = Corpus(
+        files=spark.createDataFrame(files, "repo string, file_id bigint, path string, rel_path string, language string, hash string, mtime_us bigint, size bigint, n_lines int"),
+        lines=spark.createDataFrame(lines, "repo string, file_id bigint, line int, text string"),
+        symbols=spark.createDataFrame(symbols, SYMBOLS), imports=None,
+        refs=spark.createDataFrame([("r", 2, 4, 0, "Run", "go")], "repo string, file_id bigint, line int, ord int, name string, language string"),
+    )
+    want = {
+        "/p/d/a.go:L10-L12": range(9, 14), "d/b.go:2": range(1, 4), "d/b.go": range(1, 5), "d/b.go:1-900000000": range(1, 5),
+        "d/b.go:9": range(0), "d/b.go:4-1": range(0), "d/none.go:1": range(0), "one": range(0), "d/b.go:one": range(0),
+    }
+    targets = spark.createDataFrame([("r", t) for t in want] * 2, "repo string, target string")
+    got = [(r["target"], r["line"]) for r in lookup.show_lines(c, targets, context=1).collect()]
+    assert sorted(got) == sorted((t, n) for t, ns in want.items() for n in ns)
+
+    asked = [("r", "Big", None), ("r", "Run", ""), ("r", "Run", "b.go"), ("r", "Run", "zzz"), ("r", "one", "zzz"), ("r", "none", "")]
+    found = bundle.investigate_strict(c, edges.impact_edges(c), spark.createDataFrame(asked, "repo string, target string, file_hint string"))
+    rows = {(r["target"], r["file_hint"]): r for r in found.collect()}
+    assert {k: (r["status"], r["matches"], r["also"]) for k, r in rows.items()} == {
+        ("Big", ""): ("found", 1, None), ("Run", ""): ("ambiguous", 2, ["d/a.go:3", "d/b.go:1"]), ("Run", "b.go"): ("found", 1, None),
+        ("Run", "zzz"): ("ambiguous", 2, ["d/a.go:3", "d/b.go:1"]), ("one", "zzz"): ("found", 1, None), ("none", ""): ("not found", 0, None),
+    }
+    assert len(rows["Big", ""]["source"].split("\n")) == 67 and [m["name"] for m in rows["Big", ""]["members"]] == ["Run"]
+    assert rows["Run", "b.go"]["symbol_id"] == 3 and len(rows["Run", "b.go"]["refs"]) == 1
+    assert rows["Run", "b.go"]["impact"][0]["caller"] == "one" and rows["Run", ""]["source"] is None
