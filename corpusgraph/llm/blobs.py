@@ -52,18 +52,46 @@ def unpack(blob: bytes, n_columns: int = 0) -> tuple[np.ndarray, ...]:
     return (np.cumsum(keys, dtype=np.uint64), *columns)
 
 
-def pack_words(keys: np.ndarray, words: list[np.ndarray], columns: list[np.ndarray]) -> bytes:
-    """Sorted ``keys``, columns of word hashes and columns of numbers. A word is written once and numbered."""
-    distinct, numbers = np.unique(np.concatenate(words), return_inverse=True)
-    head = pack(distinct)
-    return len(head).to_bytes(8, "little") + head + pack(keys, *numbers.reshape(len(words), -1), *columns)
-
-
-def unpack_words(blob: bytes, n_words: int, n_columns: int) -> tuple[np.ndarray, ...]:
-    body = 8 + int.from_bytes(blob[:8], "little")
-    (distinct,) = unpack(blob[8:body])
-    keys, *columns = unpack(blob[body:], n_words + n_columns)
-    return (keys, *[distinct[c.astype(np.int64)] for c in columns[:n_words]], *columns[n_words:])
+def _same_so_far(column: np.ndarray, same: np.ndarray) -> np.ndarray:
+    return same & np.concatenate([[False], column[1:] == column[:-1]])
+
+
+def pack_rows(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """Rows in the order of their ``columns``, with ``counts`` behind them. Of a column only the step from the row
+    before is written where the columns in front of it are the same."""
+    raw, same = [], np.arange(len(columns[0])) > 0
+    for c in columns:
+        steps = c.astype(np.uint64)
+        steps[1:] -= np.where(same[1:], c[:-1], np.uint64(0))
+        raw.append(_planes(steps))
+        same = _same_so_far(c, same)
+    raw += [_planes(c.astype(np.uint64, copy=False)) for c in counts]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+
+
+def unpack_rows(blob: bytes, n_columns: int, n_counts: int) -> tuple[np.ndarray, ...]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    size = len(raw) // (n_columns + n_counts)
+    steps = [_unplanes(raw[k * size : (k + 1) * size]) for k in range(n_columns + n_counts)]
+    columns, same = [], np.arange(size // 8) > 0
+    for step in steps[:n_columns]:
+        sums = np.cumsum(step, dtype=np.uint64)
+        starts = np.flatnonzero(~same)
+        columns.append(sums - np.repeat(sums[starts] - step[starts], np.diff(np.append(starts, len(step)))))
+        same = _same_so_far(columns[-1], same)
+    return (*columns, *steps[n_columns:])
+
+
+def reduced(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows in the order of ``columns``, and the sums of ``counts`` over equal rows."""
+    if not len(columns[0]):
+        return columns, [c.astype(np.int64) for c in counts]
+    order = np.lexsort(columns[::-1])
+    columns, same = [c[order] for c in columns], np.arange(len(order)) > 0
+    for c in columns:
+        same = _same_so_far(c, same)
+    first = np.flatnonzero(~same)
+    return [c[first] for c in columns], [np.add.reduceat(c[order].astype(np.int64), first) for c in counts]
 
 
 def summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:

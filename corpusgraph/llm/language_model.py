@@ -1,13 +1,14 @@
 """Language-model scoring: an interpolated modified Kneser-Ney n-gram model.
 
-Counting. Tasks turn tokens into 64-bit hashes, reduce n-grams to sorted unique ones with their counts and send one
-blob to each shard (``blobs``). A shard adds up its n-grams, writes them as sorted arrays, and passes on two things:
-for each context how many followers it has once, twice and more often, and for each n-gram without its first word in
-how many ways it was extended (the continuation counts of the next lower order). Lower orders are reduced alike, down
-to single words, which also carry their plain counts. Shards are ranges of hashes of contexts; a context that ends in
-a frequent word is spread by its followers, so no word decides the size of a shard. A shard holds all n-grams of its
-other contexts and writes those contexts itself; only what it has of spread ones is sent on and added up. What is
-gathered grows with the corpus' n-grams; nothing is pruned or capped.
+Counting. Words are counted first and numbered, the frequent ones first, so an n-gram is a row of small numbers. Tasks
+reduce n-grams of the highest order to sorted rows with their counts and send one blob to each shard (``blobs``). A
+shard is a range of hashes of the last word of the context; after a frequent word the follower decides as well, so no
+word decides the size of a shard. An n-gram without its first word lies in the same shard: one shuffle serves all
+orders. A shard adds up its n-grams, writes them as sorted arrays, makes those of the next lower order with the number
+of ways in which each was extended (continuation counts), and writes for each context how many followers it has once,
+twice and more often. Contexts that end in a frequent word lie in several shards; their parts, and the continuation
+counts of single words, are sent on and added up. What is gathered grows with the corpus' n-grams; nothing is pruned
+or capped.
 
 Scoring. Workers memory-map the sorted arrays and look up a few hundred thousand sorted keys at a time:
 
@@ -18,8 +19,7 @@ the modified Kneser-Ney estimates from the counts of counts of each order.
 
 Tokens: words after lower-casing A-Z, then one end. Defined results: a null or empty text is one end; an unseen
 context leaves all to the lower order; repeated rows count each; an empty training set leaves the uniform level alone;
-other columns pass through (one named ``lm`` gives way to the result). The order is a parameter; the registered query
-takes 3.
+other columns pass through (one named ``lm`` gives way to the result). The order is a parameter.
 """
 
 from __future__ import annotations
@@ -38,12 +38,18 @@ from corpusgraph.llm import blobs, shared_arrays
 from corpusgraph.llm.words import LOWER, Words, by_document, mix, split_words
 from corpusgraph.runtime import materialise, work_dir
 
-ORDER = 2
+ORDER = 3
 #: Bigrams of a shard, and those that a task counts before it sends them. Longer n-grams count by their words, so a
 #: shard takes as much memory at any order.
 SHARD_KEYS = 4 << 20
 TASK_TOKENS = 4 << 20
-BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Bytes of texts that a worker scores at a time.
+SCORED_BYTES = 2 << 20
+END = np.uint64(0x14057B7EF767814F)
+#: Numbers of the place before a text and of words that training has not seen. Words count from 1.
+BEGIN, UNKNOWN = np.uint64(0), np.uint64(1 << 63)
+#: Words are numbered by the power of two below their count, the most frequent first.
+BANDS = 64
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -81,14 +87,36 @@ def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """Where the arrays lie and what is known of each order: n1 to n4 (n-grams with that count), the number of
-    n-grams and the sum of their counts."""
+    n-grams and the sum of their counts. ``first`` has for each band and shard of words the numbers given before it;
+    words of numbers up to ``frequent`` are spread."""
 
     folder: str
     order: int
-    bits: int
-    frequent: np.ndarray
-    stats: dict[int, list[int]] = field(default_factory=dict)
+    word_bits: int
+    words_each: int
+    first: np.ndarray
+    bits: int = 0
+    frequent: int = 0
+    n_words: int = 0
     train_tokens: int = 0
+    stats: dict[int, list[int]] = field(default_factory=dict)
+
+    def numbered(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words, and their training counts."""
+        word, back = np.unique(token, return_inverse=True)
+        shard = blobs.shard_of(word, self.word_bits)
+        plain, place = shared_arrays.look_up(self.folder, "words", shard, word, ("plain", "place"))
+        number = np.where(plain > 0, (self.first[_band(plain), shard] + place).astype(np.uint64), UNKNOWN)
+        return number[back], plain[back]
+
+    def is_spread(self, last: np.ndarray) -> np.ndarray:
+        """Whether the n-grams of contexts with these last words lie in several shards."""
+        return last <= np.uint64(self.frequent)
+
+    def gram_shard(self, last: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Shard of n-grams by the last words of their contexts; after a frequent one, and at the beginning of texts,
+        the follower decides as well. An n-gram without its first word lies in the same shard."""
+        return blobs.shard_of(mix(np.where(self.is_spread(last), mix(last * _STEP + word), last)), self.bits)
 
     def discounts(self, level: int) -> np.ndarray:
         """For counts 0, 1, 2 and 3 or more."""
@@ -98,56 +126,77 @@ class Model:
         y = n1 / (n1 + 2 * n2)
         return np.array([0.0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.0, [1.0, 2.0, 3.0])])
 
-    @property
-    def n_words(self) -> int:
-        return self.stats[1][4]
 
+def _band(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(np.frexp(counts)[1] - 1, 0)
 
-def _frequent(documents: DataFrame, text: str, limit: int) -> tuple[np.ndarray, int]:
-    """Words above ``limit`` occurrences, of those that make up a thousandth of some task's tokens, and the number of
-    all tokens. Any list would do: it only spreads the contexts that end in these words. It holds one word for each
-    ``limit`` tokens at most."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+def _number_words(documents: DataFrame, text: str, model: Model, shard_keys: int) -> None:
+    """Counts the words, writes them as sorted arrays with their places among the words of a band, and makes the
+    numbers known to the model. The driver gets as many numbers as there are bands and shards."""
+    folder, bits = model.folder, model.word_bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def merged() -> tuple[np.ndarray, ...]:
+            token = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            return blobs.summed(np.concatenate([keys, token]), np.concatenate([counts, np.ones(len(token), np.int64)]))
+
         for _, data, offsets in by_document(batches, text):
-            token = tokens(split_words(data, offsets, LOWER))[0]
-            total += len(token)
-            own, n = np.unique(token, return_counts=True)
-            stay = n >= 16
-            keys, counts = blobs.summed(np.concatenate([keys, own[stay]]), np.concatenate([counts, n[stay]]))
-        much = counts * 1000 >= total
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.append(keys[much].astype(np.int64), 0)), pa.array(np.append(counts[much], total)),
-            pa.array(np.append(np.zeros(int(much.sum()), bool), True)),
-        ], names=["word", "n", "whole"])
-
-    seen = documents.select(text).mapInArrow(run, "word long, n long, whole boolean").groupBy("whole", "word").agg(F.sum("n").alias("n"))
-    rows = seen.filter(F.col("whole") | (F.col("n") > limit)).collect()
-    words = np.array(sorted(r["word"] for r in rows if not r["whole"]), np.int64).astype(np.uint64)
-    return np.sort(words), sum(r["n"] for r in rows if r["whole"])
-
-
-def is_spread(last: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Whether the n-grams of contexts with these last words lie in several shards."""
-    return np.isin(last, frequent) | (last == BEGIN)
-
-
-def gram_shard(context: np.ndarray, last: np.ndarray, word: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
-    """Shard of n-grams, by their context. ``last`` is its last word; after a frequent one, and at the beginning of
-    texts, the follower decides as well."""
-    return blobs.shard_of(mix(np.where(is_spread(last, frequent), context ^ word, context)), bits)
-
-
-def _sent(context: np.ndarray, last: np.ndarray, rest: list[np.ndarray], counts: list[np.ndarray], frequent: np.ndarray, bits: int):
-    """(shard, blob) of n-grams: context keys, the words behind the first, and counts."""
-    shard = gram_shard(context, last, rest[-1], frequent, bits)
-    order = np.lexsort((context, shard))
-    shard, context = shard[order], context[order]
-    rest, counts = [r[order] for r in rest], [c[order] for c in counts]
+            held.append(tokens(split_words(data, offsets, LOWER))[0])
+            if sum(map(len, held)) > TASK_TOKENS // 4:
+                keys, counts = merged()
+                if len(keys) > TASK_TOKENS:
+                    yield _rows("words", _by_range(keys, bits, counts)).combine_chunks().to_batches()[0]
+                    keys, counts = keys[:0], counts[:0]
+        keys, counts = merged()
+        if len(keys):
+            yield _rows("words", _by_range(keys, bits, counts)).combine_chunks().to_batches()[0]
+
+    def write(table: pa.Table) -> pa.Table:
+        parts = [blobs.unpack(b.as_py(), 1) for b in table.column("blob")]
+        keys, plain = blobs.summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+        band = _band(plain)
+        sizes = np.bincount(band, minlength=BANDS)
+        order = np.argsort(band, kind="stable")
+        place = np.zeros(len(keys), np.int64)
+        place[order] = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        shard = int(table.column("shard")[0].as_py())
+        shared_arrays.write(folder, "words", shard, keys=keys, plain=plain, place=place)
+        return pa.table({"shard": pa.array([shard]), "sizes": pa.array([sizes.tolist()]), "n": pa.array([int(plain.sum())])})
+
+    words = documents.select(text).mapInArrow(count, SENT).groupBy("shard")
+    sizes = np.zeros_like(model.first)
+    for row in words.applyInArrow(write, "shard long, sizes array<bigint>, n long").collect():
+        sizes[:, row["shard"]] = row["sizes"]
+        model.train_tokens += row["n"]
+    ends = np.cumsum(sizes[::-1].ravel()).reshape(sizes.shape)[::-1]
+    model.first, model.n_words = ends - sizes, int(sizes.sum())
+    # A band is spread as a whole if its least count passes a quarter of a shard.
+    model.frequent = int(sizes[int(np.ceil(np.log2(max(shard_keys // 4, 1)))) :].sum())
+
+
+def _arranged(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of n-grams in the order in which rows are sorted: rows of a context lie together, and contexts with
+    the same last word."""
+    return [words[-2], *words[:-2], words[-1]]
+
+
+def _in_order(columns: list[np.ndarray]) -> list[np.ndarray]:
+    return [*columns[1:-1], columns[0], columns[-1]]
+
+
+def _sent(shard: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]):
+    """(shard, blob) of sorted rows."""
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
     at = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
     for lo, hi in zip(at[:-1], at[1:], strict=True):
-        yield int(shard[lo]), blobs.pack_words(context[lo:hi], [r[lo:hi] for r in rest], [c[lo:hi] for c in counts])
+        rows = order[lo:hi]
+        yield int(shard[lo]), blobs.pack_rows([c[rows] for c in columns], [c[rows] for c in counts])
 
 
 def _rows(kind: str, sent, stats: list[int] | None = None) -> pa.Table:
@@ -172,123 +221,99 @@ def _by_range(keys: np.ndarray, bits: int, *columns: np.ndarray):
             yield shard, blobs.pack(keys[lo:hi], *[c[lo:hi] for c in columns])
 
 
-def _distinct(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """A place of each different key, in order of the keys, and the sums of the columns over equal keys."""
-    if not len(keys):
-        return (np.zeros(0, np.int64), *[c.astype(np.int64) for c in columns])
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return (order[at], *[np.add.reduceat(c[order].astype(np.int64), at) for c in columns])
-
-
 def _counts_of_counts(counts: np.ndarray) -> list[int]:
     return [*np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist(), len(counts), int(counts.sum())]
 
 
 def train(documents: DataFrame, text: str = "text", order: int = ORDER, shard_keys: int = SHARD_KEYS) -> Model:
-    """Counts all of ``documents`` and writes the model's arrays to shared storage.
-
-    The n-grams of ``order`` words are counted first; each lower order is made from the distinct n-grams above it."""
+    """Counts all of ``documents`` and writes the model's arrays to shared storage."""
     spark = documents.sparkSession
-    frequent, total = _frequent(documents, text, max(shard_keys // 4, 1))
-    bits = blobs.shard_bits(total * order // 2, shard_keys)
-    model = Model(f"{work_dir(spark)}/ngrams-{uuid.uuid4().hex[:12]}", order, bits, frequent)
-    folder = model.folder
+    n_bytes = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+    word_bits = blobs.shard_bits(int(n_bytes) // 16, shard_keys)
+    folder = f"{work_dir(spark)}/ngrams-{uuid.uuid4().hex[:12]}"
+    model = Model(folder, order, word_bits, shard_keys, np.zeros((BANDS, 1 << word_bits), np.int64))
+    _number_words(documents, text, model, shard_keys)
+    model.bits = blobs.shard_bits(model.train_tokens * order // 2, shard_keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """n-grams of the highest order, reduced over a few million tokens at a time."""
         held: list[list[np.ndarray]] = []
 
         def flush():
-            n, *columns = [np.concatenate([h.pop() for h in held]) for _ in range(len(held[0]))]
+            words = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            first, n = _distinct(gram_key(columns[-1], columns[0]), n)
-            for k, c in enumerate(columns):
-                columns[k] = c[first]
-            context, words = columns.pop(), columns[::-1]
-            last, rest = words[-2], words[1:] if order == 2 else words
-            sent = _sent(context, last, rest, [n], frequent, bits)
+            columns, counts = blobs.reduced(_arranged(words), [np.ones(len(words[0]), np.int64)])
+            sent = _sent(model.gram_shard(columns[0], columns[-1]), columns, counts)
             return _rows("grams", sent).combine_chunks().to_batches()[0]
 
         for _, data, offsets in by_document(batches, text):
             token, _, place = tokens(split_words(data, offsets, LOWER))
-            before = [history(token, place, k) for k in range(order - 1, 0, -1)]
-            context = context_key(before)
-            _, first, n = np.unique(gram_key(context, token), return_index=True, return_counts=True)
-            held.append([c[first] for c in (context, *(before[1:] or before), token)] + [n])
+            word, _ = model.numbered(token)
+            held.append([*[history(word, place, k) for k in range(order - 1, 0, -1)], word])
             if sum(len(h[0]) for h in held) * order > 2 * TASK_TOKENS:
                 yield flush()
         if held:
             yield flush()
 
-    def reduce_level(level: int):
-        """Adds up a shard of one order: writes its n-grams, and sends on contexts and shorter n-grams."""
-
-        def run(table: pa.Table) -> pa.Table:
-            # Behind the context: level - 1 words, the counts, and below the highest order the plain counts too.
-            top = level == order
-            parts = [blobs.unpack_words(b.as_py(), level - 1, 1 if top else 2) for b in table.column("blob")]
-            context, *columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            del parts
-            rest, counts = columns[: level - 1], columns[level - 1 :]
-            del columns
-            first, *counts = _distinct(gram_key(context, rest[-1]), *counts)
-            c, plain = counts[0], counts[-1]
-            shard = int(table.column("shard")[0].as_py())
-            context = context[first]
-            for k, r in enumerate(rest):
-                rest[k] = r[first]
-            shared_arrays.write(folder, f"grams{level}", shard, keys=gram_key(context, rest[-1]), count=c)
-            if level == 2:
-                spread = np.isin(context, context_key([np.append(frequent, BEGIN)]))
-            else:
-                spread = is_spread(rest[-2], frequent)
-            keys, *sums = blobs.summed(context[~spread], *[x[~spread] for x in (c == 1, c == 2, c > 2, c)])
-            write_contexts(f"contexts{level}", shard, keys, *sums)
-            keys, *sums = blobs.summed(context[spread], *[x[spread] for x in (c == 1, c == 2, c > 2, c)])
-            out = [_rows("contexts", _by_range(keys, bits, *sums)), _rows("stats", (), _counts_of_counts(c))]
-            one = np.ones(len(c), np.int64)
-            if level == 2:
-                words = blobs.summed(rest[-1], one, plain)
-                out.append(_rows("words", _by_range(words[0], bits, *words[1:])))
-            else:
-                context, tail = context_key(rest[:-1]), rest[1:]
-                first, *sums = _distinct(gram_key(context, rest[-1]), one, plain)
-                sent = _sent(context[first], rest[-2][first], [t[first] for t in tail], sums, frequent, bits)
-                out.append(_rows("grams", sent))
-            return pa.concat_tables(out)
-
-        return run
+    def reduce_shard(table: pa.Table) -> pa.Table:
+        """Adds up a shard, writes its n-grams of every order and the contexts it holds whole, and sends on what it
+        has of the others and of single words."""
+        shard = int(table.column("shard")[0].as_py())
+        parts = [blobs.unpack_rows(b.as_py(), order, 1) for b in table.column("blob")]
+        *columns, c = [np.concatenate(p) for p in zip(*parts, strict=True)]
+        del parts
+        out = []
+        for level in range(order, 1, -1):
+            columns, (c,) = blobs.reduced(columns, [c])
+            words = _in_order(columns)
+            context = context_key(words[:-1])
+            key = gram_key(context, words[-1])
+            by_key = np.argsort(key)
+            shared_arrays.write_short(folder, f"grams{level}", shard, key[by_key], count=c[by_key])
+            out.append(_rows(f"stats{level}", (), _counts_of_counts(c)))
+            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            sums = [np.add.reduceat(x.astype(np.int64), first) for x in (c == 1, c == 2, c > 2, c)]
+            spread = model.is_spread(columns[0][first])
+            whole = first[~spread]
+            write_contexts(f"contexts{level}", shard, context[whole], *[s[~spread] for s in sums])
+            pieces = first[spread]
+            sent = _sent(blobs.shard_of(mix(context[pieces]), model.bits), [w[pieces] for w in columns[:-1]], [s[spread] for s in sums])
+            out.append(_rows(f"contexts{level}", sent))
+            # Without their first words these are the n-grams below; each counts the ways it was extended.
+            columns, c = _arranged(words[1:]) if level > 2 else words[1:], np.ones(len(c), np.int64)
+        (word,), ways = blobs.reduced(columns, [c])
+        out.append(_rows("words", _sent(((word - np.uint64(1)) // np.uint64(shard_keys)).astype(np.int64), [word], ways)))
+        return pa.concat_tables(out)
 
     def write_contexts(name: str, shard: int, keys: np.ndarray, *sums: np.ndarray) -> None:
-        shared_arrays.write(folder, name, shard, keys=keys, **dict(zip(FOLLOWERS, sums, strict=True)))
-
-    def write_spread(level: int):
-        def run(table: pa.Table) -> pa.Table:
-            parts = [blobs.unpack(b.as_py(), 4) for b in table.column("blob")]
-            keys, *sums = blobs.summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
-            write_contexts(f"spread{level}", int(table.column("shard")[0].as_py()), keys, *sums)
-            return pa.table({"n": pa.array([len(keys)])})
-
-        return run
+        order = np.argsort(keys)
+        once = order[sums[-1][order] == 1]  # seen once, so their columns are known
+        shared_arrays.write_short(folder, f"{name}once", shard, keys[once])
+        more = order[sums[-1][order] > 1]
+        shared_arrays.write_short(folder, name, shard, keys[more], **{c: s[more] for c, s in zip(FOLLOWERS, sums, strict=True)})
+
+    def write_spread(table: pa.Table) -> pa.Table:
+        level, shard = int(table.column("kind")[0].as_py().removeprefix("contexts")), int(table.column("shard")[0].as_py())
+        parts = [blobs.unpack_rows(b.as_py(), level - 1, len(FOLLOWERS)) for b in table.column("blob")]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        (last, *rest), sums = blobs.reduced(columns[: level - 1], columns[level - 1 :])
+        write_contexts(f"spread{level}", shard, context_key([*rest, last]), *sums)
+        return pa.table({"n": pa.array([len(last)])})
 
     def write_words(table: pa.Table) -> pa.Table:
-        parts = [blobs.unpack(b.as_py(), 2) for b in table.column("blob")]
-        keys, ways, plain = blobs.summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
-        shard = int(table.column("shard")[0].as_py())
-        shared_arrays.write(folder, "words", shard, keys=keys, ways=ways, plain=plain)
-        return pa.table({"stats": pa.array([[*_counts_of_counts(ways), int(plain.sum())]], pa.list_(pa.int64()))})
-
-    level_rows = documents.select(text).mapInArrow(count, SENT)
-    for level in range(order, 1, -1):
-        level_rows = materialise(
-            level_rows.filter("kind = 'grams'").groupBy("shard").applyInArrow(reduce_level(level), SENT), f"order-{level}")
-        model.stats[level] = _total(level_rows.filter("kind = 'stats'"), 6)
-        contexts = level_rows.filter("kind = 'contexts'").groupBy("shard").applyInArrow(write_spread(level), "n long")
-        contexts.agg(F.sum("n")).collect()
-    words = level_rows.filter("kind = 'words'").groupBy("shard").applyInArrow(write_words, "stats array<bigint>")
-    *model.stats[1], model.train_tokens = _total(words, 7)
+        shard, parts = int(table.column("shard")[0].as_py()), [blobs.unpack_rows(b.as_py(), 1, 1) for b in table.column("blob")]
+        (word,), (ways,) = blobs.reduced([np.concatenate([p[0] for p in parts])], [np.concatenate([p[1] for p in parts])])
+        # Every word ends some n-gram, so the words of a shard are all there.
+        shared_arrays.write(folder, "ways", shard, ways=ways)
+        return pa.table({"stats": pa.array([_counts_of_counts(ways)], pa.list_(pa.int64()))})
+
+    grams = documents.select(text).mapInArrow(count, SENT).groupBy("shard")
+    rows = materialise(grams.applyInArrow(reduce_shard, SENT), "ngrams")
+    for level in range(2, order + 1):
+        model.stats[level] = _total(rows.filter(F.col("kind") == f"stats{level}"), 6)
+    spread = rows.filter("kind like 'contexts%'").groupBy("kind", "shard").applyInArrow(write_spread, "n long")
+    spread.agg(F.sum("n")).collect()
+    model.stats[1] = _total(rows.filter("kind = 'words'").groupBy("shard").applyInArrow(write_words, "stats array<bigint>"), 6)
     return model
 
 
@@ -303,25 +328,35 @@ def _kept_back(counts: np.ndarray, discount: np.ndarray) -> np.ndarray:
 
 def probabilities(model: Model, token: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The model's probability of every token in its context, and the tokens' plain training counts."""
-    bits, folder = model.bits, model.folder
-    ways, plain = shared_arrays.look_up(folder, "words", blobs.shard_of(token, bits), token, ("ways", "plain"))
+    folder = model.folder
+    word, plain = model.numbered(token)
     n1, n2, _, _, distinct, total = model.stats[1]
     uniform, d = 1.0 / (model.n_words + 1), model.discounts(1)
     if total:
+        ways, known = np.zeros(len(word), np.int64), np.flatnonzero(plain)
+        at = (word[known] - np.uint64(1)).astype(np.int64)
+        ways[known] = shared_arrays.at_places(folder, "ways", at // model.words_each, at % model.words_each, "ways")
         free = d[1] * n1 + d[2] * n2 + d[3] * (distinct - n1 - n2)
         p = _kept_back(ways, d) / total + free / total * uniform
     else:
         p = np.full(len(token), uniform)
     for level in range(2, model.order + 1):
-        before = [history(token, place, k) for k in range(level - 1, 0, -1)]
+        before = [history(word, place, k) for k in range(level - 1, 0, -1)]
         context, d = context_key(before), model.discounts(level)
+        shard = model.gram_shard(before[-1], word)
         followers = np.zeros((len(FOLLOWERS), len(token)), np.int64)
-        spread = is_spread(before[-1], model.frequent)
-        for name, at, spot in ((f"contexts{level}", ~spread, mix(context)), (f"spread{level}", spread, context)):
-            followers[:, at] = shared_arrays.look_up(folder, name, blobs.shard_of(spot[at], bits), context[at], FOLLOWERS)
+        spread = model.is_spread(before[-1])
+        for name, of in ((f"contexts{level}", ~spread), (f"spread{level}", spread)):
+            at = np.flatnonzero(of)
+            spot = shard[at] if name.startswith("contexts") else blobs.shard_of(mix(context[at]), model.bits)
+            followers[:, at] = shared_arrays.look_up(folder, name, spot, context[at], FOLLOWERS)
+            left = followers[-1, at] == 0
+            at, spot = at[left], spot[left]
+            once = at[shared_arrays.holds(folder, f"{name}once", spot, context[at])]
+            followers[0, once] = followers[-1, once] = 1
         m1, m2, m3, seen = followers
-        shard = gram_shard(context, before[-1], token, model.frequent, bits)
-        (count,) = shared_arrays.look_up(folder, f"grams{level}", shard, gram_key(context, token), ("count",))
+        count, at = np.zeros(len(token), np.int64), np.flatnonzero(seen)
+        (count[at],) = shared_arrays.look_up(folder, f"grams{level}", shard[at], gram_key(context, word)[at], ("count",))
         some = np.maximum(seen, 1)
         free = d[1] * m1 + d[2] * m2 + d[3] * m3
         p = np.where(seen > 0, _kept_back(count, d) / some + free / some * p, p)
@@ -341,7 +376,7 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     total, distinct = model.train_tokens, model.n_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in by_document(batches, text):
+        for rows, data, offsets in by_document(batches, text, SCORED_BYTES):
             token, doc, place = tokens(split_words(data, offsets, LOWER))
             p, plain = probabilities(model, token, place)
             n = rows.num_rows

@@ -1,8 +1,10 @@
 """Sorted hash arrays as files below ``spark.checkpoint.dir``, cut into shards by key range and memory-mapped.
 
 A shard's keys and each of its columns are ``.npy`` files. Most counts are small, so a column takes one byte for each
-value, and the few values of 255 and more lie in a second file with their places. They are written by the task that made them, under a
-temporary name and then renamed, so a task that runs twice leaves one file. Workers map a file where the shared folder
+value, and the few values of 255 and more lie in a second file with their places. Keys that need not be told apart
+further are kept by their first 48 bits, in two files (``short``): a shard of n of them takes a key it does not hold
+for one of its own with odds of n / 2^48. Files are written by the task that made them, under a temporary name and
+then renamed, so a task that runs twice leaves one file. Workers map a file where the shared folder
 is mounted; from another kind of store they fetch a shard when they first need it, into their own temporary folder.
 """
 
@@ -81,23 +83,76 @@ def _values(folder: str, stem: str, places: np.ndarray) -> np.ndarray:
     return values
 
 
-def look_up(
-    folder: str, table: str, shards: np.ndarray, keys: np.ndarray, columns: tuple[str, ...]
-) -> list[np.ndarray]:
-    """The columns for each key in its shard, 0 where the key is not there. Keys are looked up in order, one shard
-    after another, so a mapped file is read from front to back."""
+def write_short(folder: str, table: str, shard: int, keys: np.ndarray, **columns: np.ndarray) -> None:
+    """Sorted ``keys`` by their first 48 bits, and their columns."""
+    high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(16)).astype(np.uint16)
+    system, path, _ = _store(folder)
+    system.create_dir(path, recursive=True)
+    _save(system, path, f"{table}-{shard:06d}-high", high)
+    _save(system, path, f"{table}-{shard:06d}-low", low)
+    write(folder, table, shard, **columns)
+
+
+def _places(folder: str, stem: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in a shard, and which of them are there."""
+    known = _open(folder, f"{stem}-keys.npy")
+    if known is not None and len(known):
+        places = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return places, known[places] == keys
+    known = _open(folder, f"{stem}-high.npy")
+    if known is None or not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    tails = _open(folder, f"{stem}-low.npy")
+    high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(16)).astype(np.uint16)
+    places = np.searchsorted(known, high)
+    hit = np.zeros(len(keys), bool)
+    open_ = np.flatnonzero(places < len(known))
+    while len(open_):  # keys with the same first 32 bits follow each other
+        open_ = open_[known[places[open_]] == high[open_]]
+        here = tails[places[open_]] == low[open_]
+        hit[open_[here]] = True
+        open_ = open_[~here]
+        places[open_] += 1
+        open_ = open_[places[open_] < len(known)]
+    return places, hit
+
+
+def _hits(folder: str, table: str, shards: np.ndarray, keys: np.ndarray):
+    """(shard's stem, places in it, numbers of the keys found there). Keys are looked up in order, one shard after
+    another, so a mapped file is read from front to back."""
     order = np.lexsort((keys, shards))
     sorted_keys, sorted_shards = keys[order], shards[order]
-    out = [np.zeros(len(keys), np.int64) for _ in columns]
     at = np.append(np.flatnonzero(np.diff(sorted_shards, prepend=-1)), len(keys))
     for lo, hi in zip(at[:-1], at[1:], strict=True):
-        shard = int(sorted_shards[lo])
-        known = _open(folder, f"{table}-{shard:06d}-keys.npy")
-        if known is None or not len(known):
-            continue
-        places = np.minimum(np.searchsorted(known, sorted_keys[lo:hi]), len(known) - 1)
-        hit = known[places] == sorted_keys[lo:hi]
-        places, back = places[hit], order[lo:hi][hit]
+        stem = f"{table}-{int(sorted_shards[lo]):06d}"
+        places, hit = _places(folder, stem, sorted_keys[lo:hi])
+        if hit.any():
+            yield stem, places[hit], order[lo:hi][hit]
+
+
+def look_up(
+    folder: str, table: str, shards: np.ndarray, keys: np.ndarray, columns: tuple[str, ...]
+) -> list[np.ndarray]:
+    """The columns for each key in its shard, 0 where the key is not there."""
+    out = [np.zeros(len(keys), np.int64) for _ in columns]
+    for stem, places, back in _hits(folder, table, shards, keys):
         for values, name in zip(out, columns, strict=True):
-            values[back] = _values(folder, f"{table}-{shard:06d}-{name}", places)
+            values[back] = _values(folder, f"{stem}-{name}", places)
+    return out
+
+
+def holds(folder: str, table: str, shards: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is in its shard."""
+    out = np.zeros(len(keys), bool)
+    for _, _, back in _hits(folder, table, shards, keys):
+        out[back] = True
+    return out
+
+
+def at_places(folder: str, table: str, shards: np.ndarray, places: np.ndarray, column: str) -> np.ndarray:
+    """Values of a column without keys."""
+    out = np.zeros(len(places), np.int64)
+    for shard in np.unique(shards).tolist():
+        here = np.flatnonzero(shards == shard)
+        out[here] = _values(folder, f"{table}-{shard:06d}-{column}", places[here])
     return out

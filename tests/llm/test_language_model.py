@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.llm import blobs, language_model, queries, shared_arrays
+from corpusgraph.llm.words import split_words
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
@@ -40,6 +41,39 @@ def test_narrow_columns_lose_nothing(tmp_path):
         places = rng.permutation(500)
         (got,) = shared_arrays.look_up(str(tmp_path), f"t{large}", np.zeros(500, np.int64), keys[places], ("n",))
         assert (got == values[places]).all()
-    words = [rng.integers(0, 1 << 63, 50, dtype=np.uint64)[rng.integers(0, 50, 500)] for _ in range(2)]
-    back = blobs.unpack_words(blobs.pack_words(keys, words, [values]), 2, 1)
-    assert all((a == b).all() for a, b in zip(back, [keys, *words, values.astype(np.uint64)], strict=True))
+
+
+def test_short_keys_tell_apart_what_48_bits_do(tmp_path):
+    rng = np.random.default_rng(4)
+    high = rng.integers(0, 1 << 32, 300, dtype=np.uint64)[rng.integers(0, 300, 3000)]  # many keys with equal first halves
+    keys = np.unique((high << np.uint64(32)) | (rng.integers(0, 40, 3000, dtype=np.uint64) << np.uint64(16)))
+    shared_arrays.write_short(str(tmp_path), "t", 0, keys[::2], n=np.arange(len(keys[::2])))
+    asked = rng.permutation(len(keys))
+    got = shared_arrays.holds(str(tmp_path), "t", np.zeros(len(keys), np.int64), keys[asked])
+    assert (got == (asked % 2 == 0)).all()
+    (n,) = shared_arrays.look_up(str(tmp_path), "t", np.zeros(len(keys), np.int64), keys[asked], ("n",))
+    assert (n == np.where(asked % 2 == 0, asked // 2, 0)).all()
+    assert not shared_arrays.holds(str(tmp_path), "t", np.ones(3, np.int64), keys[:3]).any()
+
+
+@pytest.mark.parametrize("n_columns", [1, 2, 3])
+def test_rows_come_back(n_columns):
+    rng = np.random.default_rng(n_columns)
+    rows = rng.integers(0, 1 << 40, 20, dtype=np.uint64)[rng.integers(0, 20, (n_columns, 5000))]
+    columns, (n,) = blobs.reduced([*rows], [np.ones(5000, np.int64)])
+    want, counts = np.unique(rows, axis=1, return_counts=True)
+    back = blobs.unpack_rows(blobs.pack_rows(columns, [n]), n_columns, 1)
+    assert (np.stack(back[:-1]) == want).all() and (back[-1] == counts).all()
+    nothing = blobs.unpack_rows(blobs.pack_rows([np.zeros(0, np.uint64)] * n_columns, [n[:0]]), n_columns, 1)
+    assert [len(c) for c in nothing] == [0] * (n_columns + 1)
+
+
+def test_numbers_of_words(spark, tmp_path):
+    texts = [" ".join(f"w{k}" for k in range(j + 1)) for j in range(60)]
+    model = language_model.train(spark.createDataFrame([(t,) for t in texts], "text string"), shard_keys=50)
+    words = split_words(np.frombuffer("\n".join(texts + ["unseen"]).encode(), np.uint8), np.array([0, len("\n".join(texts + ["unseen"]))]))
+    number, plain = model.numbered(words.hash)
+    assert number[-1] == language_model.UNKNOWN and plain[-1] == 0 and len(np.unique(number)) == 61
+    ranked = np.argsort(number[:-1], kind="stable")
+    assert (np.diff(np.floor(np.log2(plain[:-1][ranked]))) <= 0).all()
+    assert model.frequent == len(np.unique(number[plain >= 16])) + 1  # the end of a text counts as well

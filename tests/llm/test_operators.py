@@ -222,7 +222,7 @@ def test_language_model(spark, tricky, documents, no_documents, order):
 
 def test_language_model_sums_to_one(spark):
     docs = spark.createDataFrame([(t,) for t in ("a b a c", "b a b", "c c a d e", "a b c d")] * 2, "text string")
-    model = language_model.train(docs)
+    model = language_model.train(docs, order=2)
     one = spark.createDataFrame([(f"a {w}",) for w in ("a", "b", "c", "d", "e", "unseen")] + [("a",)], "text string")
     rows = {r["text"]: r["lm"]["score"] for r in language_model.score(one, model).collect()}
     want = {t: w["score"] for t, w in zip(rows, brute.kneser_ney([r["text"] for r in docs.collect()], list(rows), 2), strict=True)}
