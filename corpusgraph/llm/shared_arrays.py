@@ -1,9 +1,9 @@
 """Sorted hash arrays as files below ``spark.checkpoint.dir``, cut into shards by key range and memory-mapped.
 
 A shard's keys and each of its columns are ``.npy`` files. Most counts are small, so a column takes one byte for each
-value, and the few values of 255 and more lie in a second file with their places. Keys that need not be told apart
-further are kept by their first 48 bits, in two files (``short``): a shard of n of them takes a key it does not hold
-for one of its own with odds of n / 2^48. Files are written by the task that made them, under a temporary name and
+value, and the few values of 255 and more lie in a second file with their places. Keys can also be
+kept short (``write_short``): an index of buckets of 8 to 16 keys by their first bits, and the next 32 bits of each. A
+shard then takes a key that it does not hold for one of its own with odds below 2^-28 at any size. Files are written by the task that made them, under a temporary name and
 then renamed, so a task that runs twice leaves one file. Workers map a file where the shared folder
 is mounted; from another kind of store they fetch a shard when they first need it, into their own temporary folder.
 """
@@ -83,13 +83,22 @@ def _values(folder: str, stem: str, places: np.ndarray) -> np.ndarray:
     return values
 
 
+def _tails(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
+
+def _buckets(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
 def write_short(folder: str, table: str, shard: int, keys: np.ndarray, **columns: np.ndarray) -> None:
-    """Sorted ``keys`` by their first 48 bits, and their columns."""
-    high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(16)).astype(np.uint16)
+    """Sorted ``keys`` without the bits that their buckets imply and those behind the next 32, and their columns."""
+    bits = max(0, len(keys).bit_length() - 4)
+    sizes = np.bincount(_buckets(keys, bits), minlength=1 << bits)
     system, path, _ = _store(folder)
     system.create_dir(path, recursive=True)
-    _save(system, path, f"{table}-{shard:06d}-high", high)
-    _save(system, path, f"{table}-{shard:06d}-low", low)
+    _save(system, path, f"{table}-{shard:06d}-index", np.append(0, np.cumsum(sizes)).astype(np.uint32))
+    _save(system, path, f"{table}-{shard:06d}-tails", _tails(keys, bits))
     write(folder, table, shard, **columns)
 
 
@@ -99,28 +108,26 @@ def _places(folder: str, stem: str, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     if known is not None and len(known):
         places = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return places, known[places] == keys
-    known = _open(folder, f"{stem}-high.npy")
-    if known is None or not len(known):
+    index = _open(folder, f"{stem}-index.npy")
+    if index is None or not index[-1]:
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    tails = _open(folder, f"{stem}-low.npy")
-    high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(16)).astype(np.uint16)
-    places = np.searchsorted(known, high)
-    hit = np.zeros(len(keys), bool)
-    open_ = np.flatnonzero(places < len(known))
-    while len(open_):  # keys with the same first 32 bits follow each other
-        open_ = open_[known[places[open_]] == high[open_]]
-        here = tails[places[open_]] == low[open_]
-        hit[open_[here]] = True
-        open_ = open_[~here]
-        places[open_] += 1
-        open_ = open_[places[open_] < len(known)]
-    return places, hit
+    bits = (len(index) - 1).bit_length() - 1
+    tails, wanted, bucket = _open(folder, f"{stem}-tails.npy"), _tails(keys, bits), _buckets(keys, bits)
+    low, end = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
+    high, last = end, len(tails) - 1
+    for _ in range(int((end - low).max()).bit_length()):  # halve every bucket at once
+        middle = (low + high) >> 1
+        less = (low < high) & (tails[np.minimum(middle, last)] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    return low, (low < end) & (tails[np.minimum(low, last)] == wanted)
 
 
 def _hits(folder: str, table: str, shards: np.ndarray, keys: np.ndarray):
     """(shard's stem, places in it, numbers of the keys found there). Keys are looked up in order, one shard after
     another, so a mapped file is read from front to back."""
-    order = np.lexsort((keys, shards))
+    order = np.argsort(keys)
+    narrow = shards.astype(np.min_scalar_type(int(shards.max()) if len(shards) else 0))  # a few bytes sort by radix
+    order = order[np.argsort(narrow[order], kind="stable")]
     sorted_keys, sorted_shards = keys[order], shards[order]
     at = np.append(np.flatnonzero(np.diff(sorted_shards, prepend=-1)), len(keys))
     for lo, hi in zip(at[:-1], at[1:], strict=True):

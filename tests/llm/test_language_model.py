@@ -43,17 +43,20 @@ def test_narrow_columns_lose_nothing(tmp_path):
         assert (got == values[places]).all()
 
 
-def test_short_keys_tell_apart_what_48_bits_do(tmp_path):
-    rng = np.random.default_rng(4)
-    high = rng.integers(0, 1 << 32, 300, dtype=np.uint64)[rng.integers(0, 300, 3000)]  # many keys with equal first halves
-    keys = np.unique((high << np.uint64(32)) | (rng.integers(0, 40, 3000, dtype=np.uint64) << np.uint64(16)))
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 40, 5000])
+def test_short_keys(tmp_path, n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64))
+    keys[: n // 2] >>= np.uint64(9)  # some buckets hold many
+    keys = np.unique(keys)
+    shard = np.zeros(len(keys), np.int64)
     shared_arrays.write_short(str(tmp_path), "t", 0, keys[::2], n=np.arange(len(keys[::2])))
     asked = rng.permutation(len(keys))
-    got = shared_arrays.holds(str(tmp_path), "t", np.zeros(len(keys), np.int64), keys[asked])
+    got = shared_arrays.holds(str(tmp_path), "t", shard, keys[asked])
     assert (got == (asked % 2 == 0)).all()
-    (n,) = shared_arrays.look_up(str(tmp_path), "t", np.zeros(len(keys), np.int64), keys[asked], ("n",))
-    assert (n == np.where(asked % 2 == 0, asked // 2, 0)).all()
-    assert not shared_arrays.holds(str(tmp_path), "t", np.ones(3, np.int64), keys[:3]).any()
+    (places,) = shared_arrays.look_up(str(tmp_path), "t", shard, keys[asked], ("n",))
+    assert (places == np.where(asked % 2 == 0, asked // 2, 0)).all()
+    assert not shared_arrays.holds(str(tmp_path), "t", shard + 1, keys).any()
 
 
 @pytest.mark.parametrize("n_columns", [1, 2, 3])
