@@ -169,15 +169,16 @@ def scores(train, texts, order):
     for n, grams in levels.items():
         for g, c in grams.items():
             followers[n][g[:-1]].append(c)
+    sums = {n: {u: (sum(d[n][min(x, 3)] for x in seen), sum(seen)) for u, seen in f.items()} for n, f in followers.items()}
 
     def p(context, w):
         n = len(context) + 1
         below = p(context[1:], w) if context else 1 / (len(levels[1]) + 1)
-        seen = followers[n].get(context)
-        if not seen:
+        if context not in sums[n]:
             return below
+        free, seen = sums[n][context]
         c = levels[n][(*context, w)]
-        return (max(c - d[n][min(c, 3)], 0) + sum(d[n][min(x, 3)] for x in seen) * below) / sum(seen)
+        return (max(c - d[n][min(c, 3)], 0) + free * below) / seen
 
     out = []
     for text in texts:
