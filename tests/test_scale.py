@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph import runtime
+from corpusgraph.corpus import FILES_SCHEMA, IMPORTS_SCHEMA, LazyCorpus
+from corpusgraph.operators import callsites, edges, graph, imports
 from corpusgraph.plans import fixtures as fx
 from corpusgraph.plans.catalog import QUERIES
 
@@ -71,3 +73,36 @@ def test_ids_that_repeat_meet_every_file_of_theirs(spark, tables):
     )
     assert sorted(map(str, c.refs.collect())) == sorted(map(str, want.collect()))
     assert c.refs.where("file_id = 2").count() == 2 * 5
+
+
+def test_calls_are_exploded_behind_all_shuffles(spark, tables):
+    plan = edges.containment_edges(fx.corpus(spark, tables))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(callees") < plan.index("Exchange")
+
+
+def test_edges_of_limited_searches(spark):
+    """Only the first 2 * limit edges of a name are kept, and they are those of the whole table, ties and repeated ids included."""
+    files = [("r", i, f"/r/p{i % 7}.x", f"p{i % 7}.x", "x", "", 0, 0, 1) for i in range(20)]
+    files += [("r", 3, "/r/a.x", "a.x", "x", "", 0, 0, 1), ("r", 4, None, None, "x", "", 0, 0, 1)]
+    raw = [("r", i, f"p{j}/p{i % 3}", "x") for i in range(20) for j in range(7)]
+    c = LazyCorpus(
+        files=lambda: spark.createDataFrame(files, FILES_SCHEMA), imports=lambda: spark.createDataFrame(raw, IMPORTS_SCHEMA))
+    every = graph.ranked(imports.import_edges(c), "stem")
+    got = graph.ranked(imports.import_edges(c, limit=2), "stem", 2)
+    want = every.where("edge_rank <= 4").select(got.columns)
+    assert got.count() < every.count()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_words_do_not_carry_the_text_of_their_line(spark, tables, monkeypatch):
+    """Lines are priced once, with a hash for their text, before their words are exploded."""
+    written_columns = {}
+    monkeypatch.setattr(callsites, "materialise", lambda df, name: written_columns.setdefault(name, df))
+    c = fx.corpus(spark, tables)
+    names = c.symbols.select("repo", F.col("name").alias("target")).distinct()
+    got = {(r.repo, r.target): r.grep_bytes for r in callsites.output_cost(c, names, 20).collect()}
+    assert {"cost", "text_hash"} <= set(written_columns["priced_lines"].columns)
+    # "Beta Alphax" and "Alpha calls Bravox Charlie" of document 1, "Delta Alphax Alphax" of document 2
+    assert got["repo_en", "Alpha"] == sum(len(x) + 1 for x in (
+        "src1/d1.en:1:Alpha calls Bravox Charlie", "src1/d1.en:2:Beta Alphax")) + sum(
+        len(f"{p}:1:Delta Alphax Alphax") + 1 for p in ("src2/en/d2.en", "src3/de/d2.de"))
