@@ -128,9 +128,11 @@ def text_search(c: Corpus, query: str, lang: str = "", limit: int | None = LIMIT
     match is looked for in the whole line.
     """
     files = c.files.where(F.col("language") == lang) if lang else c.files
+    # Beyond the broadcast limit lines are shuffled to their file: only what is shown of them.
     hits = (
         c.lines.where(F.contains("text", F.lit(query)))
+        .select("repo", "file_id", "line", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
         .join(files.select("file_id", "path", "rel_path"), "file_id")
-        .select("repo", "path", "rel_path", "line", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
+        .select("repo", "path", "rel_path", "line", "snippet")
     )
     return hits if limit is None else hits.orderBy("rel_path", "line", "repo").limit(limit)

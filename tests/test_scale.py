@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph import runtime
 from corpusgraph.corpus import FILES_SCHEMA, IMPORTS_SCHEMA, LazyCorpus
-from corpusgraph.operators import callsites, edges, graph, imports
+from corpusgraph.operators import callsites, edges, graph, imports, search
 from corpusgraph.plans import fixtures as fx
 from corpusgraph.plans.catalog import QUERIES
 
@@ -106,3 +106,17 @@ def test_words_do_not_carry_the_text_of_their_line(spark, tables, monkeypatch):
     assert got["repo_en", "Alpha"] == sum(len(x) + 1 for x in (
         "src1/d1.en:1:Alpha calls Bravox Charlie", "src1/d1.en:2:Beta Alphax")) + sum(
         len(f"{p}:1:Delta Alphax Alphax") + 1 for p in ("src2/en/d2.en", "src3/de/d2.de"))
+
+
+def test_hits_are_cut_to_their_snippet_before_they_meet_their_file(spark, tables):
+    """Lines may be long; only what is shown of them is shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = search.text_search(fx.corpus(spark, tables), "Charlie", limit=None)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Exchange") < plan.index("substring(text")
+        assert sorted(r.snippet for r in hits.collect()) == [
+            "Alpha Charlie", "Alpha calls Bravox Charlie", "beta Gammas and Charlie", "beta Gammas and Charlie"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
