@@ -120,3 +120,22 @@ def test_hits_are_cut_to_their_snippet_before_they_meet_their_file(spark, tables
             "Alpha Charlie", "Alpha calls Bravox Charlie", "beta Gammas and Charlie", "beta Gammas and Charlie"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_files_of_one_id_do_not_carry_each_other(spark, tmp_path):
+    """Copies of an id have its languages once each, with their number, and meet the ids without their texts."""
+    rows = [(1, "Alpha calls Bravox\nBeta", "en", x) for x in ["src1"] * 6 + ["src2", None]] + [(2, "Alpha Charlie", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    sf = str(tmp_path)
+    assert {(r.file_id, len(r.languages), r.n_lines) for r in fx.contents(spark, sf).collect()} == {(1, 3, 16), (2, 1, 1)}
+    refs = fx.corpus(spark, sf).refs
+    count = {(r.file_id, r["language"]): r["count"] for r in refs.where("name = 'Bravox'").groupBy("file_id", "language").count().collect()}
+    assert count == {(1, "src1"): 48, (1, "src2"): 8, (1, None): 8}
+    assert refs.where("file_id = 2").count() == 1
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fx._repeated(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "split(text" in plan[plan.index("SortMergeJoin"):]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
