@@ -1,5 +1,7 @@
 """What a query builds and shuffles: rows of the test's own, plans read with broadcasts off."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,20 @@ def test_files_of_one_id_do_not_carry_each_other(spark, tmp_path):
         assert "split(text" in plan[plan.index("SortMergeJoin"):]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_all_callers_are_found_without_shuffling_their_product(spark, monkeypatch):
+    """Twelve names are called by a hub, which thirty files call: rows by target are made behind the last shuffle."""
+    monkeypatch.setattr(graph, "BLOCK_TARGETS", 5, raising=False)
+    rows = [("r", f"t{i}", "hub", 1, i, "/r/a", "a") for i in range(12)] + [("r", "t1", "hub", 1, 1, "/r/Z", "Z")]
+    rows += [("r", "hub", f"c{f % 7}", f, f, f"/r/p{f}", f"p{f}") for f in range(2, 32)]
+    rows += [("r", "c1", "t3", 40, 2, "/r/x", "x"), ("r", "c2", "t3", 40, 1, "/r/x", "x"), ("r", "t2", "c3", 3, 9, "/r/p3", "p3")]
+    edges_ = spark.createDataFrame(rows, "repo string, callee string, caller string, file_id bigint, line int, path string, rel_path string")
+    targets = spark.createDataFrame([("r", f"t{i}") for i in range(12)] + [("r", "none"), (None, "t1")], "repo string, target string")
+    for depth in (1, 2, 4):
+        got = graph.find_impact(edges_, targets, depth, limit=None)
+        want = graph.find_impact(edges_, targets, depth, limit=10**6)
+        assert {r["rank"] for r in got.collect()} == {None}
+        assert sorted(map(str, got.drop("rank").collect())) == sorted(map(str, want.select(got.columns).drop("rank").collect()))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\([^)]*target#[^)]*file_id#", plan)
