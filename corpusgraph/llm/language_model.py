@@ -10,7 +10,8 @@ twice and more often. Contexts that end in a frequent word lie in several shards
 counts of single words, are sent on and added up. What is gathered grows with the corpus' n-grams; nothing is pruned
 or capped.
 
-Scoring. Workers memory-map the sorted arrays and look up a few hundred thousand sorted keys at a time:
+Scoring. Workers memory-map the sorted arrays, look up some hundred thousand sorted keys at a time and hold a bounded
+part of the arrays in memory:
 
     p_k(w | u) = max(c(u w) - D(c), 0) / c(u) + (D1 N1(u) + D2 N2(u) + D3 N3(u)) / c(u) * p_(k-1)(w | u')
 
@@ -43,8 +44,8 @@ ORDER = 3
 #: shard takes as much memory at any order.
 SHARD_KEYS = 4 << 20
 TASK_TOKENS = 4 << 20
-#: Bytes of texts that a worker scores at a time.
-SCORED_BYTES = 2 << 20
+#: Bytes of texts that a worker scores at a time. Each time it reads the arrays anew, as far as they pass what it may hold.
+SCORED_BYTES = 4 << 20
 END = np.uint64(0x14057B7EF767814F)
 #: Numbers of the place before a text and of words that training has not seen. Words count from 1.
 BEGIN, UNKNOWN = np.uint64(0), np.uint64(1 << 63)

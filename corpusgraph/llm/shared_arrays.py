@@ -6,10 +6,13 @@ kept short (``write_short``): an index of buckets of 8 to 16 keys by their first
 shard then takes a key that it does not hold for one of its own with odds below 2^-28 at any size. Files are written by the task that made them, under a temporary name and
 then renamed, so a task that runs twice leaves one file. Workers map a file where the shared folder
 is mounted; from another kind of store they fetch a shard when they first need it, into their own temporary folder.
+Pages that look-ups have read are given back shard by shard (``_give_back``), so a worker holds a bounded part of the
+arrays, however large they are; the system's cache keeps them for the next look.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 import tempfile
 import uuid
@@ -20,7 +23,11 @@ from pyarrow import fs
 
 #: Value of a one-byte column whose true value lies apart.
 APART = 255
+#: Bytes of mapped files that a worker holds in memory between two shards.
+HELD_BYTES = 192 << 20
 _mapped: dict[str, np.ndarray | None] = {}
+#: Mapped files that were read since pages were last given back.
+_read: dict[str, np.ndarray] = {}
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str, bool]:
@@ -70,10 +77,34 @@ def _open(folder: str, name: str) -> np.ndarray | None:
         if not mounted:
             local = os.path.join(tempfile.mkdtemp(prefix="arrays-"), name)
             fs.copy_files(f"{path}/{name}", local, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-        _mapped[key] = np.load(local, mmap_mode="r")
+        _mapped[key] = _map(local)
+    if _mapped[key] is not None:
+        _read[key] = _mapped[key]
     return _mapped[key]
 
 
+def _map(path: str) -> np.ndarray:
+    """As ``np.load`` maps it, without a file handle that stays open: there are thousands of files."""
+    with open(path, "rb") as f:
+        version = np.lib.format.read_magic(f)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, _, dtype = read(f)
+        held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        return np.frombuffer(held, dtype, offset=f.tell()).reshape(shape)
+
+
+def _give_back() -> None:
+    """Lets go of the pages of mapped files if their files together, as read since the last time, pass ``HELD_BYTES``."""
+    if sum(a.nbytes for a in _read.values()) <= HELD_BYTES:
+        return
+    for a in _read.values():
+        held = a
+        while not isinstance(held, mmap.mmap):
+            held = held.base if isinstance(held, np.ndarray) else held.obj
+        held.madvise(mmap.MADV_DONTNEED)
+    _read.clear()
+
+
 def _values(folder: str, stem: str, places: np.ndarray) -> np.ndarray:
     values = _open(folder, f"{stem}.npy")[places].astype(np.int64)
     apart = _open(folder, f"{stem}-apart.npy")
@@ -135,6 +166,7 @@ def _hits(folder: str, table: str, shards: np.ndarray, keys: np.ndarray):
         places, hit = _places(folder, stem, sorted_keys[lo:hi])
         if hit.any():
             yield stem, places[hit], order[lo:hi][hit]
+        _give_back()
 
 
 def look_up(
@@ -162,4 +194,5 @@ def at_places(folder: str, table: str, shards: np.ndarray, places: np.ndarray, c
     for shard in np.unique(shards).tolist():
         here = np.flatnonzero(shards == shard)
         out[here] = _values(folder, f"{table}-{shard:06d}-{column}", places[here])
+        _give_back()
     return out

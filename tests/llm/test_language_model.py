@@ -80,3 +80,20 @@ def test_numbers_of_words(spark, tmp_path):
     ranked = np.argsort(number[:-1], kind="stable")
     assert (np.diff(np.floor(np.log2(plain[:-1][ranked]))) <= 0).all()
     assert model.frequent == len(np.unique(number[plain >= 16])) + 1  # the end of a text counts as well
+
+
+def test_looked_up_pages_are_given_back(tmp_path, monkeypatch):
+    """A worker that reads all of its arrays holds a bounded part of them."""
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[2]) * 4096
+
+    keys = np.arange(1 << 20, dtype=np.uint64) << np.uint64(40)
+    shards = np.arange(len(keys)) >> 17
+    for shard in range(8):
+        shared_arrays.write(str(tmp_path), "t", shard, keys=keys[shards == shard], n=np.arange(len(keys))[shards == shard])
+    monkeypatch.setattr(shared_arrays, "HELD_BYTES", 1 << 20, raising=False)
+    before = held()
+    (got,) = shared_arrays.look_up(str(tmp_path), "t", shards, keys, ("n",))
+    assert (got == np.arange(len(keys))).all()
+    assert held() - before < 4 << 20  # of 12 MB
