@@ -158,3 +158,50 @@ def test_all_callers_are_found_without_shuffling_their_product(spark, monkeypatc
         assert sorted(map(str, got.drop("rank").collect())) == sorted(map(str, want.select(got.columns).drop("rank").collect()))
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Exchange hashpartitioning\([^)]*target#[^)]*file_id#", plan)
+
+
+def test_contents_and_lines_are_not_copied_unless_ids_repeat(spark, tmp_path, monkeypatch):
+    rows = [(1, "Alpha calls Bravox\nBeta", "en", "src1"), (2, "Delta Alphax", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = written(monkeypatch)
+    got = QUERIES["impact"](spark, str(tmp_path)).collect()
+    assert not {"contents", "lines"} & set(names) and "refs" in names
+    assert [(r.target, r.caller) for r in got] == []
+    assert fx.lines(spark, str(tmp_path)).count() == 3
+
+
+def _search_rows(spark, fan):
+    """t is called by ``fan`` callers, each of them by many files; the callers a0, a1, ... come in order of their names."""
+    rows = [("r", "t", f"a{k}", k, 1, f"/r/{k}", f"{k}") for k in range(fan)]
+    rows += [("r", f"a{k}", f"z{f}", 100 + f, 1, f"/r/{100 + f}", f"{100 + f}") for k in range(fan) for f in range(30)]
+    return spark.createDataFrame(rows, "repo string, callee string, caller string, file_id bigint, line int, path string, rel_path string")
+
+
+def test_names_behind_those_that_fill_a_target_are_not_expanded(spark):
+    table = _search_rows(spark, 8)
+    frontier = spark.createDataFrame([("r", "t", f"a{k}", 8) for k in range(8)], "repo string, target string, name string, seen int")
+    kept = graph._needed_names(frontier, table, "callee", 20, unique=False)
+    assert [r.name for r in kept.collect()] == ["a0"]
+    few = graph._needed_names(frontier, table, "callee", 70, unique=True)
+    assert sorted(r.name for r in few.collect()) == ["a0", "a1", "a2"]  # 8 + 30 + 30 < 70
+    targets = spark.createDataFrame([("r", "t")], "repo string, target string")
+    got = graph.find_impact(table, targets, 3, 20).collect()
+    assert sorted((r["rank"], r.depth, r.symbol) for r in got) == [(k + 1, 1, "t") if k < 8 else (k + 1, 2, "a0") for k in range(20)]
+
+
+def test_limited_edges_are_the_first_of_all(spark):
+    """Names called in several bins of a file, and callers whose first lines name too few callees."""
+    from corpusgraph.corpus import REFS_SCHEMA, SYMBOLS_SCHEMA
+
+    n = 200
+    files = [("r", i, f"/r/p{i}.x", f"p{i}.x", "x", "", 0, 0, n) for i in range(6)]
+    symbols = [("r", i * 10 + k, i, f"s{k % 2}", "function", 1 + 50 * k, 50 + 50 * k, 0, 0, "", 0, "", "x") for i in range(6) for k in range(4)]
+    refs = [("r", i, line, 0, "Samename" if line < 190 else f"Other{line % 7}{i}", "x") for i in range(6) for line in range(1, n + 1)]
+    c = LazyCorpus(
+        files=lambda: spark.createDataFrame(files, FILES_SCHEMA), symbols=lambda: spark.createDataFrame(symbols, SYMBOLS_SCHEMA),
+        refs=lambda: spark.createDataFrame(refs, REFS_SCHEMA))
+    for make, key in ((edges.impact_edges, "callee"), (edges.trace_edges, "caller")):
+        for limit in (2, 9):
+            want = graph.ranked(make(c), key).where(F.col("edge_rank") <= 2 * limit)
+            got = graph.ranked(make(c, limit), key, limit).select(want.columns)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
